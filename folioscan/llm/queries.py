@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscan.llm import distinctive, frequency, leakage, lookalike, mixing, near, spans, split, subjects
+from folioscan.llm import distinctive, frequency, leakage, lookalike, mixing, near, scans, spans, split, subjects
 from folioscan.sources.tables import table
 
 TOKENIZER = os.environ.get("FOLIOSCAN_TOKENIZER", "/opt/tokenizers/byte_bpe_multi_50k.tiktoken")
@@ -22,6 +22,18 @@ def _documents(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents")
 
 
+def _repaired(spark: SparkSession, d: str) -> DataFrame:
+    return scans.repaired_pages(_inputs(spark, d), table(spark, d, "book_list"))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return scans.page_marks(_repaired(spark, d))
+
+
+def p1_repaired(spark: SparkSession, d: str) -> DataFrame:
+    return _repaired(spark, d).select("row_id", "text")
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return split.cut_kinds(split.split_oversized(_inputs(spark, d)))
 
