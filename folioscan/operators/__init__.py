@@ -1 +1 @@
-
+"""Operators of the search engine on DataFrames."""
