@@ -15,6 +15,8 @@ RARE_RECORDS = 1
 COMMON_SHARE = 0.1
 #: Suffixes with one first term go to so many routes, by their second term: a hot first term is split.
 ROUTES_PER_TERM = 16
+#: Stands between the terms of a suffix, below all signs of a term: suffixes that share terms stay side by side in order.
+BETWEEN = "\x1f"
 #: Suffixes held by a map task before it passes them on.
 HELD = 200_000
 
@@ -48,10 +50,7 @@ def term_frequencies(df: DataFrame, text: str = "text", max_len: int = 1) -> Dat
     """
 
     def emit(held: dict[tuple[str, ...], list[int]]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [pa.array([list(k) for k in held], pa.list_(pa.string())), pa.array([v[0] for v in held.values()], pa.int64()), pa.array([v[1:] for v in held.values()], pa.list_(pa.int64()))],
-            ["suffix", "n", "fresh"],
-        )
+        return pa.RecordBatch.from_arrays([pa.array([BETWEEN.join(k) for k in held], pa.string()), pa.array(list(held.values()), pa.list_(pa.int32()))], ["suffix", "v"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
@@ -88,7 +87,8 @@ def term_frequencies(df: DataFrame, text: str = "text", max_len: int = 1) -> Dat
                     if path:
                         counts[-1] += out[1][-1]
 
-            for s, n, fresh in zip(*(c.to_pylist() for c in batch.columns)):
+            for joined, (n, *fresh) in zip(*(c.to_pylist() for c in batch.columns)):
+                s = joined.split(BETWEEN)
                 k = 0
                 for a, b in zip(path, s):
                     if a != b:
@@ -116,8 +116,8 @@ def term_frequencies(df: DataFrame, text: str = "text", max_len: int = 1) -> Dat
 
     if max_len < 1:
         raise ValueError("max_len must be at least 1")
-    suffixes = arrow_stage(pick(df, t=text).where("t is not null"), cut, "suffix array<string>, n long, fresh array<long>")
-    first, second = F.col("suffix")[0], F.try_element_at("suffix", F.lit(2))
+    suffixes = arrow_stage(pick(df, t=text).where("t is not null"), cut, "suffix string, v array<int>")
+    first, second = (F.split_part("suffix", F.lit(BETWEEN), F.lit(k)) for k in (1, 2))
     salt = F.lit(0) if max_len == 1 else F.pmod(F.xxhash64(second), F.lit(ROUTES_PER_TERM))
     routed = suffixes.repartition(first, salt).sortWithinPartitions(F.col("suffix").desc())
     found = arrow_stage(routed, stack, "terms array<string>, occurrences long, records long")

@@ -41,7 +41,7 @@ def oracle_sql() -> dict[str, str]:
             WHERE records <= 1 OR records > 0.1 * (SELECT count(*) FROM document_input)""",
         "p6_terms": f"""WITH {_TERMS} SELECT term, CAST(c AS BIGINT) AS occurrences, records, CASE WHEN records <= 1 THEN 'rare' WHEN records > 0.1 * (SELECT count(*) FROM document_input) THEN 'common' END AS mark FROM terms""",
         "p6_phrases": r"""WITH w AS (SELECT row_id, list_transform(list_filter(regexp_extract_all(text, '[\p{L}\p{M}\p{N}]+'), lambda x: strlen(x) < 40), lambda x: lower(x)) AS a FROM document_input),
-            g AS (SELECT row_id, array_to_string(a[i:i + k - 1], ' ') AS phrase FROM (SELECT row_id, a, k, unnest(range(1, len(a) - k + 2)) AS i FROM w, (SELECT unnest([1, 2, 3]) AS k)))
+            g AS (SELECT row_id, array_to_string(a[i:i + k - 1], ' ') AS phrase FROM (SELECT row_id, a, k, unnest(range(1, len(a) - k + 2)) AS i FROM w, (SELECT unnest([1, 2]) AS k)))
             SELECT phrase, count(*) AS occurrences, count(DISTINCT row_id) AS records FROM g GROUP BY phrase HAVING count(DISTINCT row_id) > 1""",
         "p7_found": f"{_SIMILAR} SELECT row_id_a, row_id_b FROM pairs",
         "p7_groups": f"""{_SIMILAR}, both_ways AS (SELECT row_id_a AS row_id, row_id_b AS other FROM pairs UNION ALL SELECT row_id_b, row_id_a FROM pairs),
