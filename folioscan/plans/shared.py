@@ -12,13 +12,19 @@ _written: list[tuple[object, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one of our own only where the setting is absent."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    """The folder named by ``spark.checkpoint.dir``, else the context's checkpoint folder.
+
+    Where neither is set, local sessions (tests) use a temporary folder and others one under the warehouse, which all
+    executors share.
+    """
+    context = spark.sparkContext
+    found = context.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if found:
         return found.rstrip("/")
     own = spark.conf.get("spark.folioscan.shared.dir", None)
     if not own:
-        own = "file://" + tempfile.mkdtemp(prefix="folioscan-")
+        local = context.master.startswith("local") and not context.master.startswith("local-cluster")
+        own = "file://" + tempfile.mkdtemp(prefix="folioscan-") if local else spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
         spark.conf.set("spark.folioscan.shared.dir", own)
     return own
 
