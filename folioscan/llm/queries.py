@@ -65,7 +65,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_shares(spark: SparkSession, d: str) -> DataFrame:
     df = _inputs(spark, d)
-    return spans.shared_shares(df, *spans.shared_spans(df))
+    return spans.shared_shares(df, *spans.repeated_spans(df))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:

@@ -161,6 +161,18 @@ def _extent(a: str, at_a: int, b: str, at_b: int, size: int) -> tuple[int, int]:
     return left, right
 
 
+def _shared_paths(df: DataFrame, row_id: str, text: str, min_chars: int) -> tuple[DataFrame, ...]:
+    """Texts long enough, their classes, the paths that classes share, and the texts of the classes on them."""
+    docs = pick(df, row_id=row_id, t=text).where(F.char_length("t") >= min_chars).withColumn("cls", F.xxhash64("t"))
+    members = docs.select("row_id", "cls").distinct()
+    edges = materialise(text_edges(docs, min_chars))
+    paths = materialise(compacted_paths(edges))
+    # texts of the classes on paths only: the broadcast has SLOTS rows at most and may let others through
+    slots = F.broadcast(paths.select(F.pmod("cls", F.lit(SLOTS)).alias("slot")).distinct())
+    some = docs.select("cls", "t", F.pmod("cls", F.lit(SLOTS)).alias("slot")).join(slots, "slot", "left_semi").groupBy("cls").agg(F.first("t").alias("t"))
+    return docs, members, paths, some
+
+
 def shared_spans(df: DataFrame, row_id: str = "row_id", text: str = "text", min_chars: int = MIN_CHARS) -> tuple[DataFrame, DataFrame]:
     """Classes of equal texts, and the long common runs between classes.
 
@@ -170,13 +182,7 @@ def shared_spans(df: DataFrame, row_id: str = "row_id", text: str = "text", min_
     characters beyond the path on either side. Null and short texts take no part; further columns are ignored; empty
     tables give no rows.
     """
-    docs = pick(df, row_id=row_id, t=text).where(F.char_length("t") >= min_chars).withColumn("cls", F.xxhash64("t"))
-    members = docs.select("row_id", "cls").distinct()
-    edges = materialise(text_edges(docs, min_chars))
-    paths = materialise(compacted_paths(edges))
-    # texts of the classes on paths only: the broadcast has SLOTS rows at most and may let others through
-    slots = F.broadcast(paths.select(F.pmod("cls", F.lit(SLOTS)).alias("slot")).distinct())
-    some = docs.select("cls", "t", F.pmod("cls", F.lit(SLOTS)).alias("slot")).join(slots, "slot", "left_semi").groupBy("cls").agg(F.first("t").alias("t"))
+    docs, members, paths, some = _shared_paths(df, row_id, text, min_chars)
     from_ = F.greatest(F.lit(0), F.col("lo") - min_chars)
     around = paths.join(some, "cls").select(
         "path", "cls", "lo", "hi", from_.alias("start"), F.substring("t", from_ + 1, F.col("hi") + min_chars - from_).alias("t")
@@ -210,19 +216,44 @@ def shared_pairs(members: DataFrame, spans: DataFrame) -> DataFrame:
     return across.unionByName(within).where("x != y").select(F.least("x", "y").alias("row_id_a"), F.greatest("x", "y").alias("row_id_b")).distinct()
 
 
-def shared_shares(df: DataFrame, members: DataFrame, spans: DataFrame, row_id: str = "row_id", text: str = "text", reference: str = "reference") -> DataFrame:
+def repeated_spans(df: DataFrame, row_id: str = "row_id", text: str = "text", min_chars: int = MIN_CHARS) -> tuple[DataFrame, DataFrame]:
+    """``members`` as of ``shared_spans``, and ``(cls, lo, hi)``: the stretches of each class's text that also stand in another class.
+
+    A stretch is the union of all windows of ``min_chars`` characters that two classes hold. Only windows around a
+    shared path can be such; their hashes are counted, so the cost follows the texts and not the pairs: a passage in
+    a third of all texts is as cheap as any.
+    """
+    docs, members, paths, some = _shared_paths(df, row_id, text, min_chars)
+    regions = paths.groupBy("cls").agg(F.collect_list(F.struct("lo", "hi")).alias("paths")).join(some, "cls").select("cls", "t", "paths")
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for c, t, found in zip(*(x.to_pylist() for x in batch.columns)):
+                n = len(t) - min_chars + 1
+                marks = np.zeros(n + 1, np.int64)
+                for p in found:  # windows that hold the path's first edge begin between hi - min_chars and lo, and so on to its last
+                    marks[max(0, p["lo"] - min_chars)] += 1
+                    marks[min(n, p["hi"])] -= 1
+                at = np.nonzero(np.cumsum(marks)[:n] > 0)[0]
+                codes = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)
+                h = _grams(codes, min_chars)[at].view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.full(len(at), c)), pa.array(at.astype(np.int32))], ["h", "cls", "place"])
+
+    held = materialise(arrow_stage(regions, windows, "h long, cls long, place int"))
+    both = held.groupBy("h").agg(F.min("cls").alias("a"), F.max("cls").alias("b")).where("a != b").select("h")
+    order = Window.partitionBy("cls").orderBy("place")
+    begins = F.when(F.coalesce(F.col("place") - F.lag("place").over(order) > min_chars, F.lit(True)), 1).otherwise(0)
+    runs = held.join(both, "h").withColumn("begin", begins).withColumn("run", F.sum("begin").over(order))
+    return members, runs.groupBy("cls", "run").agg(F.min("place").alias("lo"), (F.max("place") + min_chars).alias("hi")).drop("run")
+
+
+def shared_shares(df: DataFrame, members: DataFrame, stretches: DataFrame, row_id: str = "row_id", text: str = "text", reference: str = "reference") -> DataFrame:
     """``(row_id, reference, chars, shared_chars, share, copies)`` for every record with a text: how much of it also stands elsewhere.
 
-    ``copies``: other records with the same text, all of whose characters count as shared. Spans of one text are
-    merged, so overlapping ones count once. Empty texts have the share 0.
+    ``stretches``: those of ``repeated_spans``, which don't overlap. ``copies``: other records with the same text, all of whose characters
+    count as shared. Empty texts have the share 0.
     """
-    sides = spans.select(F.col("cls_a").alias("cls"), F.col("lo_a").alias("lo"), F.col("hi_a").alias("hi")).unionByName(
-        spans.select(F.col("cls_b").alias("cls"), F.col("lo_b").alias("lo"), F.col("hi_b").alias("hi"))
-    )
-    before = Window.partitionBy("cls").orderBy("lo", "hi").rowsBetween(Window.unboundedPreceding, -1)
-    reach = F.coalesce(F.max("hi").over(before), F.lit(0))
-    fresh = F.greatest(F.lit(0), F.col("hi") - F.greatest("lo", "reach"))
-    covered = sides.distinct().withColumn("reach", reach).groupBy("cls").agg(F.sum(fresh).alias("covered"))
+    covered = stretches.groupBy("cls").agg(F.sum(F.col("hi") - F.col("lo")).alias("covered"))
     sizes = members.groupBy("cls").agg((F.count("*") - 1).alias("copies"))
     rows = pick(df, row_id=row_id, reference=reference, t=text).where("t is not null").select("row_id", "reference", F.xxhash64("t").alias("cls"), F.char_length("t").cast("long").alias("chars"))
     copies = F.coalesce("copies", F.lit(0))

@@ -6,7 +6,7 @@ import pytest
 import regex
 
 from folioscan.llm.near import MAX_LEVEL, bag_signatures, linked_pairs, linked_rows, near_duplicates
-from folioscan.llm.spans import K, shared_pairs, shared_shares, shared_spans, text_boundaries, window_sizes
+from folioscan.llm.spans import K, repeated_spans, shared_pairs, shared_shares, shared_spans, text_boundaries, window_sizes
 
 
 def words(n, seed, vocabulary=4000):
@@ -132,7 +132,11 @@ def test_shared_spans_against_brute_force(spark):
     expected = {(i, j) for (i, a), (j, b) in combinations([x for x in rows if x[1]], 2) if common_run(a, b) >= 200}
     members, spans = shared_spans(df)
     assert {(r.row_id_a, r.row_id_b) for r in shared_pairs(members, spans).collect()} == expected
-    shares = {r.row_id: r for r in shared_shares(df, members, spans).collect()}
+    shares = {r.row_id: r for r in shared_shares(df, *repeated_spans(df)).collect()}
+    for i, t in rows:
+        if t is not None:
+            held = [k for k in range(len(t) - 199) if any(t[k : k + 200] in u for j, u in rows if j != i and u)]
+            assert shares[i].shared_chars == len({p for k in held for p in range(k, k + 200)})
     assert len(shares) == len(rows) - 1
     assert shares[0].copies == 4 and shares[0].share == 1.0 and shares[0].reference == "r0"
     assert (shares[6].shared_chars, shares[6].copies) == (260, 0)
@@ -143,5 +147,5 @@ def test_shared_spans_against_brute_force(spark):
 
 def test_shared_spans_of_nothing(spark):
     df = spark.createDataFrame([(1, None), (2, "short")], "row_id long, text string")
-    members, spans = shared_spans(df)
-    assert (members.count(), spans.count()) == (0, 0)
+    for members, spans in (shared_spans(df), repeated_spans(df)):
+        assert (members.count(), spans.count()) == (0, 0)
