@@ -130,7 +130,7 @@ def exact_facet_counts_root(ix: Index) -> DataFrame:
 @query
 def exact_search_and_count(ix: Index) -> DataFrame:
     found = match.exact(ix, "witness", scored=False)
-    return _page(ix, found, 5).select("row_id", "id").crossJoin(F.broadcast(results.count_frame(found)))
+    return _page(ix, found, 5).select("row_id", "id", F.lit(results.count(found)).cast("long").alias("total_count"))
 
 
 @query
