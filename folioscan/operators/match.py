@@ -145,14 +145,9 @@ def _slot_positions(index: Index, slots: Sequence[Sequence[str]]) -> DataFrame:
     return found.where(reduce(lambda a, b: a & b, [F.size(f"p{i}") > 0 for i in range(len(slots))]))
 
 
-def _shifted(slot: int) -> Column:
-    """Where a phrase begins if its word number ``slot`` stands at each of the slot's positions."""
-    return F.transform(F.col(f"p{slot}"), lambda p: p - F.lit(slot))
-
-
-def _adjacent(n: int) -> Column:
-    """How often the slots stand side by side in order."""
-    return F.size(reduce(F.array_intersect, [_shifted(i) for i in range(n)]))
+def _shifted(positions: Column, slot: int) -> Column:
+    """Where a phrase begins if its word number ``slot`` stands at each of ``positions``."""
+    return F.transform(positions, lambda p: p - F.lit(slot))
 
 
 def _moved(before: Column) -> Callable[[Column], Column]:
@@ -165,17 +160,25 @@ def _moved(before: Column) -> Callable[[Column], Column]:
     return step
 
 
-def _sloppy(n: int, slop: int) -> Column:
-    """Ends of placements of all slots whose moves ``sum |(pos_i - i) - (pos_(i-1) - (i-1))|`` are within ``slop``.
+def placements(slots: Sequence[Column], slop: int) -> Column:
+    """How many ends of placements of all slots are within ``slop`` moves ``sum |(pos_i - i) - (pos_(i-1) - (i-1))|``.
 
-    One pass over the slots keeps for each position the least moves that lead to it.
+    Without slop the starts are intersected. Else one pass over the slots keeps for each position the least moves that
+    lead to it.
     """
-    state = F.transform(_shifted(0), lambda at: F.struct(at.alias("at"), F.lit(0).cast("long").alias("moves")))
-    for i in range(1, n):
-        state = F.filter(F.transform(_shifted(i), _moved(state)), lambda s: s["moves"] <= F.lit(slop))
+    starts = [_shifted(p, i) for i, p in enumerate(slots)]
+    if slop == 0:
+        return F.size(reduce(F.array_intersect, starts))
+    state = F.transform(starts[0], lambda at: F.struct(at.alias("at"), F.lit(0).cast("long").alias("moves")))
+    for s in starts[1:]:
+        state = F.filter(F.transform(s, _moved(state)), lambda x: x["moves"] <= F.lit(slop))
     return F.size(state)
 
 
+def _placed(slots: Sequence, slop: int) -> Column:
+    return placements([F.col(f"p{i}") for i in range(len(slots))], slop)
+
+
 def exact(index: Index, query: str, facets: Sequence[str] = (), scored: bool = True) -> Matches:
     """Records that hold the words of ``query`` side by side; no words match nothing.
 
@@ -190,7 +193,7 @@ def exact(index: Index, query: str, facets: Sequence[str] = (), scored: bool = T
     if len(terms) == 1:
         counted = _of_terms(index, terms).select("row_id", F.lit(1).alias("tf"))
     else:
-        counted = _slot_positions(index, slots).select("row_id", _adjacent(len(terms)).alias("tf")).where("tf > 0")
+        counted = _slot_positions(index, slots).select("row_id", _placed(slots, 0).alias("tf")).where("tf > 0")
     return Matches(_facets(index, _scored(index, counted, slots, scored), facets), slots)
 
 
@@ -222,8 +225,7 @@ def regex(index: Index, patterns: Sequence[str], slop: int = 0, max_expansions:
     if len(slots) == 1:
         rows = _of_terms(index, slots[0]).select("row_id").distinct().withColumn("score", F.lit(1.0))
     else:
-        times = _adjacent(len(slots)) if slop == 0 else _sloppy(len(slots), slop)
-        counted = _slot_positions(index, slots).select("row_id", times.alias("tf")).where("tf > 0")
+        counted = _slot_positions(index, slots).select("row_id", _placed(slots, slop).alias("tf")).where("tf > 0")
         rows = _scored(index, counted, slots, scored)
     return Matches(_facets(index, rows, facets), slots)
 

@@ -11,7 +11,7 @@ from folioscan import bench
 from folioscan.engine import Searcher
 from folioscan.functions import topics as T
 from folioscan.functions.morph import GRAM_PREFIX, GRAM_SUFFIX, PARTIAL, PREFIX, SPELLING, SUFFIX, TYPO, prepare_advanced_query
-from folioscan.operators import match, results, updates
+from folioscan.operators import batch, match, results, updates
 from folioscan.operators.index import Index, build_index
 from folioscan.plans.oracle import oracle_sql as oracle_sql
 from folioscan.plans.shared import materialise
@@ -475,6 +475,12 @@ def bench_memory(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "benchmark_case").select("query_name", F.round(memory, 6).alias("memory_usage_mb"))
 
 
+@on_tables
+def case_hits(spark: SparkSession, d: str) -> DataFrame:
+    """All stored cases in one pass."""
+    return batch.case_hits(open_index(spark, d), table(spark, d, "benchmark_case"))
+
+
 @on_tables
 def bench_suite(spark: SparkSession, d: str) -> DataFrame:
     """The built-in cases, each run once."""

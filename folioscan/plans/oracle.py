@@ -197,6 +197,21 @@ def oracle_sql() -> dict[str, str]:
         "bench_memory": """SELECT query_name, round(1 + max_expansions / 1000.0 * list_sum(list_transform(regex_terms, lambda t: 1.0 + CASE WHEN contains(t, '.*') THEN 0.5 ELSE 0 END
             + CASE WHEN contains(t, '[') THEN 1.0 ELSE 0 END + CASE WHEN contains(t, '(') THEN 1.5 ELSE 0 END + CASE WHEN contains(t, chr(123)) THEN 0.8 ELSE 0 END
             + CASE WHEN contains(t, '+') OR contains(t, '*') THEN 0.3 ELSE 0 END)), 6) AS memory_usage_mb FROM benchmark_case""",
+        "case_hits": f"""WITH RECURSIVE {_POSTINGS},
+            slots AS (SELECT query_name, unnest(regex_terms) AS pattern, unnest(range(len(regex_terms))) AS slot, len(regex_terms) AS n, facets, slop, max_expansions FROM benchmark_case),
+            matched AS (SELECT pattern, term FROM (SELECT DISTINCT pattern FROM slots), vocabulary WHERE regexp_full_match(term, pattern)),
+            sizes AS (SELECT s.query_name, s.slot, s.n, s.max_expansions, count(m.term) AS size FROM slots s LEFT JOIN matched m USING (pattern) GROUP BY ALL),
+            summed AS (SELECT *, sum(size) OVER (PARTITION BY query_name ORDER BY slot) AS so_far FROM sizes),
+            ends AS (SELECT query_name, min(CASE WHEN size = 0 THEN slot END) AS empty, min(CASE WHEN so_far > max_expansions THEN slot END) AS beyond FROM summed GROUP BY query_name),
+            states AS (SELECT query_name, CASE WHEN empty IS NOT NULL AND (beyond IS NULL OR empty < beyond) THEN 'no terms' WHEN beyond IS NOT NULL THEN 'too many terms' ELSE 'matched' END AS status FROM ends),
+            places AS (SELECT DISTINCT s.query_name, s.slot, s.n, s.slop, s.facets, p.row_id, p.pos - s.slot AS place
+              FROM slots s JOIN states USING (query_name) JOIN matched USING (pattern) JOIN postings p USING (term) WHERE status = 'matched'),
+            chain AS (SELECT query_name, slot, n, slop, facets, row_id, place, 0 AS moves FROM places WHERE slot = 0
+              UNION SELECT c.query_name, p.slot, c.n, c.slop, c.facets, c.row_id, p.place, c.moves + abs(p.place - c.place)
+              FROM chain c JOIN places p ON p.query_name = c.query_name AND p.row_id = c.row_id AND p.slot = c.slot + 1 AND c.moves + abs(p.place - c.place) <= c.slop),
+            hits AS (SELECT DISTINCT query_name, row_id FROM chain JOIN docs USING (row_id) WHERE slot = n - 1
+              AND (len(facets) = 0 OR len(list_filter(facets, lambda f: topics = rtrim(f, '/') OR starts_with(topics, rtrim(f, '/') || '/'))) > 0))
+            SELECT s.query_name, status, CASE WHEN status <> 'too many terms' THEN count(h.row_id) END AS total_count FROM states s LEFT JOIN hits h USING (query_name) GROUP BY s.query_name, status""",
         "results_by_query": """SELECT query_name, count(*) AS n_rows, count(DISTINCT (search_id, hit_no, id)) AS distinct_rows, count(DISTINCT search_id) AS searches,
             CAST(sum(CASE WHEN contains(text, '<font color=red>') THEN 1 ELSE 0 END) AS BIGINT) AS marked FROM search_result GROUP BY query_name""",
     }
