@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscan.llm.common import TERM, arrow_stage, pick, terms_of
+from folioscan.llm.common import MAX_TERM_BYTES, TERM, arrow_stage, pick
 from folioscan.plans.shared import materialise
 
 BANDS, ROWS = 40, 6
@@ -29,6 +29,10 @@ CHUNK = 400
 _GOLDEN, _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
+#: Waiting times of a Poisson process by the first 16 bits of a random number: the same on every machine.
+_GAPS = -np.log((np.arange(1 << 16) + 0.5) / (1 << 16))
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser that spreads every input bit."""
     x = (x ^ (x >> np.uint64(30))) * _M1
@@ -64,56 +68,51 @@ def bag_signatures(docs: np.ndarray, hashes: np.ndarray, levels: np.ndarray, n_d
     """
     sig = np.full(n_docs * m, np.inf, np.float32)
     source, seeds, width, low = _processes(hashes, levels)
-    owner, top = docs[source], levels[source]
+    owner = docs[source]
+    room = (levels[source] - low).astype(np.uint64)  # points at weights from here up don't count
     whole = np.bincount(docs, weights=levels, minlength=n_docs)
     until = np.where(whole > 0, m * (np.log(m) + 2) / np.maximum(whole, 1), 0.0)
-    time = np.zeros(len(seeds))
-    step = np.zeros(len(seeds), np.uint64)
     waiting = until > 0
     while waiting.any():
-        live = np.nonzero(waiting[owner])[0]
-        own, seed, wide, lo, up, t, j = owner[live], seeds[live], width[live], low[live], top[live], time[live], step[live]
-        end = until[own]
-        while len(live):
-            r = mix(seed + (j + np.uint64(1)) * _GOLDEN)
-            gap = -np.log((r >> np.uint64(11)).astype(np.float64) * 2.0**-53 + 2.0**-54) / wide
-            now = t + gap
-            go = now <= end
-            if not go.all():
-                stay = ~go  # where it stops is where it goes on if the time is doubled
-                time[live[stay]], step[live[stay]] = t[stay], j[stay]
-                live, own, seed, wide, lo, up, end, r, now, j = (x[go] for x in (live, own, seed, wide, lo, up, end, r, now, j))
-                if not len(live):
-                    break
-            r = mix(r ^ _M1)
-            ok = lo + ((r >> np.uint64(40)).astype(np.int64) % wide) < up
-            reg = (r & np.uint64(0xFFFFFFFF)).astype(np.int64) % m
-            np.minimum.at(sig, (own * m + reg)[ok], now[ok].astype(np.float32))
-            t, j = now, j + np.uint64(1)
+        at = np.nonzero(waiting[owner])[0]
+        own, seed, wide, space = owner[at], seeds[at], width[at].astype(np.uint64), room[at]
+        end = until[own] * width[at]  # processes run at one point a unit of time: the true time is this over the width
+        now, step = np.zeros(len(at)), 0
+        while len(own):
+            step += 1
+            r = mix(seed + np.uint64(step * int(_GOLDEN) & 0xFFFFFFFFFFFFFFFF))
+            now = now + _GAPS[(r >> np.uint64(48)).astype(np.int64)]
+            inside = now <= end
+            hit = np.nonzero(inside & ((r & (wide - np.uint64(1))) < space))[0]  # widths are powers of two
+            register = (r[hit] >> np.uint64(16) & np.uint64(0xFFFFFFFF)) % np.uint64(m)
+            np.minimum.at(sig, own[hit] * m + register.astype(np.int64), (now[hit] / wide[hit]).astype(np.float32))
+            kept = np.count_nonzero(inside)
+            if kept < 0.75 * len(own):
+                own, seed, wide, space, end, now = (x[inside] for x in (own, seed, wide, space, end, now))
         waiting &= np.isinf(sig.reshape(n_docs, m)).any(axis=1)
         until = np.where(waiting, until * 2, until)
     return sig.reshape(n_docs, m)
 
 
-class _Hasher:
+class _Hasher(dict):
     """64-bit hashes of terms, remembered per worker up to a bound."""
 
     def __init__(self) -> None:
         import regex
         import xxhash
 
-        self.findall, self.hash, self.known = regex.compile(TERM).findall, xxhash.xxh64_intdigest, {}
+        super().__init__()
+        self.findall, self.hash = regex.compile(TERM).findall, xxhash.xxh64_intdigest
+
+    def __missing__(self, term: str) -> int:
+        self[term] = out = self.hash(term)
+        return out
 
-    def __call__(self, text: str) -> np.ndarray:
-        known, out = self.known, []
-        if len(known) > 500_000:
-            known.clear()
-        for w in set(terms_of(self.findall, text)):
-            h = known.get(w)
-            if h is None:
-                h = known[w] = self.hash(w)
-            out.append(h)
-        return np.array(out, np.uint64)
+    def __call__(self, text: str) -> list[int]:
+        if len(self) > 500_000:
+            self.clear()
+        terms = {w.lower() for w in set(self.findall(text)) if len(w) < 10 or len(w.encode()) < MAX_TERM_BYTES}
+        return list(map(self.__getitem__, terms))
 
 
 def _level_table(df: DataFrame) -> np.ndarray:
@@ -122,9 +121,9 @@ def _level_table(df: DataFrame) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, bins, rows = _Hasher(), np.zeros(COUNT_BINS + 1, np.int64), 0
         for batch in batches:
-            for t in batch.column(0).to_pylist():
-                np.add.at(bins, (hasher(t) % np.uint64(COUNT_BINS)).astype(np.int64), 1)
-                rows += 1
+            found = [h for t in batch.column(0).to_pylist() for h in hasher(t)]
+            bins[:COUNT_BINS] += np.bincount((np.array(found, np.uint64) % np.uint64(COUNT_BINS)).astype(np.int64), minlength=COUNT_BINS)
+            rows += batch.num_rows
         bins[COUNT_BINS] = rows
         at = np.nonzero(bins)[0]
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(bins[at])], ["bin", "n"])
@@ -184,7 +183,7 @@ def signature_table(df: DataFrame, row_id: str, text: str, min_terms: int) -> Da
                 found = hasher(t)
                 if len(found) >= max(1, min_terms):
                     ids.append(i)
-                    sets.append(np.sort(found))
+                    sets.append(np.sort(np.array(found, np.uint64)))
                 if len(ids) >= CHUNK:
                     yield chunk(ids, sets)
                     ids, sets = [], []
