@@ -306,7 +306,10 @@ class Store:
         self._swap(manifest)
 
     def optimize(self) -> None:
-        """Merge all segments into one without the dead records. With one segment or none nothing happens: what is pending stays."""
+        """Merge all segments into one without the dead records. With one segment or none nothing happens: what is pending stays.
+
+        The files replaced go at the next call, so engines that still read the version before it don't miss them.
+        """
         self._lock()
         if self.segments() <= 1:
             return
@@ -314,10 +317,11 @@ class Store:
         manifest = self._manifest()
         live = self._live(self._read(manifest["segments"], "docs", _SEGMENT), manifest)
         old = [*manifest["segments"], *manifest["tombstones"], *([manifest["dead"]] if manifest["dead"] else []), manifest["vocabulary"]]
-        manifest |= {"segments": [], "tombstones": [], "dead": None}
+        outdated = manifest.get("outdated", [])
+        manifest |= {"segments": [], "tombstones": [], "dead": None, "outdated": old}
         top = manifest["next_row"]
         self._write_segment(live.select(*_SEGMENT.fieldNames()), manifest)
         manifest["next_row"] = max(top, manifest["next_row"])
         self._finish(manifest, None)
-        for name in old:
+        for name in outdated:
             shutil.rmtree(self._root / name, ignore_errors=True)

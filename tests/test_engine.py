@@ -129,8 +129,10 @@ def test_optimize(engine):
         filled(engine, doc(n, f"שלום {n}"))
     engine.delete_document_by_id(0)
     assert engine.get_segment_count() == 3
+    before = engine.index
     engine.optimize()
     assert engine.get_segment_count() == 1
+    assert before.docs.count() == 3  # the version before stays readable
     assert ids(engine.search_exact("שלום")) == [1, 2]
     engine.add_document(doc(9, "שלום"))
     engine.optimize()  # one segment: nothing happens, what is pending stays
