@@ -21,109 +21,106 @@ BETWEEN = "\x1f"
 HELD = 200_000
 
 
-def _suffixes(tokens: list[str], max_len: int) -> Iterator[tuple[tuple[str, ...], int, int]]:
-    """Each distinct suffix of a record cut to ``max_len`` terms, its count, and the length of the longest prefix that
-    it shares with the suffix before it in order: the record is new to the longer prefixes only."""
+def _suffixes(tokens: list[str], max_len: int) -> Iterator[tuple[tuple[str, int], int]]:
+    """Each distinct suffix of a record cut to ``max_len`` terms, joined, with the number of terms that it shares with the
+    suffix before it in order, and its count. The record is new to the suffix's longer prefixes only."""
     if max_len == 1:
         for w, n in Counter(tokens).items():
-            yield (w,), n, 0
+            yield (w, 0), n
         return
-    counts = Counter(tuple(tokens[i : i + max_len]) for i in range(len(tokens)))
-    before: tuple[str, ...] = ()
+    ends = [""] * (max_len - 1)
+    before: tuple[str, ...] = ("",) * max_len
+    counts = Counter(zip(*[(tokens + ends)[k : k + len(tokens)] for k in range(max_len)]))
     for s in sorted(counts):
         k = 0
-        for a, b in zip(before, s):
-            if a != b:
-                break
+        while k < max_len and s[k] and s[k] == before[k]:
             k += 1
-        yield s, counts[s], k
+        yield (BETWEEN.join(s).rstrip(BETWEEN), k), counts[s]
         before = s
 
 
-def term_frequencies(df: DataFrame, text: str = "text", max_len: int = 1) -> DataFrame:
-    """Rows ``(terms, occurrences, records)`` for every run of 1 to ``max_len`` terms; every row of ``df`` is a record.
+def term_frequencies(df: DataFrame, text: str = "text", max_len: int = 1, min_records: int = 1) -> DataFrame:
+    """Rows ``(terms, occurrences, records)`` for every run of 1 to ``max_len`` terms in at least ``min_records`` records; every row of ``df`` is a record.
 
-    Map tasks combine equal suffixes; a suffix carries its count and, for each prefix length, the number of records
-    that it is the first to bring to that prefix. These numbers add up, so no record sets travel. Suffixes are routed
+    Map tasks combine equal suffixes; a suffix carries its count and in how many records it brings the record to the
+    prefixes longer than ``known`` terms. These numbers add up, so no record sets travel. Suffixes are routed
     by first term (and a part of the second), sorted in reverse order, and one pass with a stack gives the counts of
     all prefixes. Null and empty texts hold no terms; further columns are ignored; an empty table gives no rows.
     """
 
-    def emit(held: dict[tuple[str, ...], list[int]]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([BETWEEN.join(k) for k in held], pa.string()), pa.array(list(held.values()), pa.list_(pa.int32()))], ["suffix", "v"])
+    def emit(records: dict[tuple[str, int], int], more: dict[tuple[str, int], int]) -> pa.RecordBatch:
+        n = [r + more.get(k, 0) for k, r in records.items()]
+        columns = [pa.array([k for k, _ in records], pa.string()), pa.array([k for _, k in records], pa.int32()), pa.array(n, pa.int64()), pa.array(list(records.values()), pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, ["suffix", "known", "n", "fresh"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
         findall = regex.compile(TERM).findall
-        held: dict[tuple[str, ...], list[int]] = {}
+        records: dict[tuple[str, int], int] = {}
+        more: dict[tuple[str, int], int] = {}  # occurrences beyond one a record
         for batch in batches:
             for t in batch.column(0).to_pylist():
-                for s, n, known in _suffixes(terms_of(findall, t), max_len):
-                    v = held.get(s)
-                    if v is None:
-                        v = held[s] = [0] * (1 + len(s))
-                    v[0] += n
-                    for k in range(known + 1, len(s) + 1):
-                        v[k] += 1
-            if len(held) > HELD:
-                yield emit(held)
-                held = {}
-        yield emit(held)
+                for key, n in _suffixes(terms_of(findall, t), max_len):
+                    records[key] = records.get(key, 0) + 1
+                    if n > 1:
+                        more[key] = more.get(key, 0) + n - 1
+                if len(records) > HELD:
+                    yield emit(records, more)
+                    records, more = {}, {}
+        yield emit(records, more)
 
     def stack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         path: list[str] = []
         counts: list[int] = []
         records: list[int] = []
+        out: tuple[list, list, list] = ([], [], [])
+
+        def pop(to: int) -> None:
+            while len(path) > to:
+                n, r = counts.pop(), records.pop()
+                if r >= min_records or len(path) == 1:  # a single term's routes are added up first
+                    out[0].append(BETWEEN.join(path))
+                    out[1].append(n)
+                    out[2].append(r)
+                path.pop()
+                if path:
+                    counts[-1] += n
+
+        def told() -> pa.RecordBatch:
+            batch = pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64())], ["run", "occurrences", "records"])
+            for x in out:
+                x.clear()
+            return batch
+
         for batch in batches:
-            out: tuple[list, list, list] = ([], [], [])
-
-            def pop(to: int, out=out) -> None:
-                while len(path) > to:
-                    out[0].append(list(path))
-                    out[1].append(counts.pop())
-                    out[2].append(records.pop())
-                    path.pop()
-                    if path:
-                        counts[-1] += out[1][-1]
-
-            for joined, (n, *fresh) in zip(*(c.to_pylist() for c in batch.columns)):
+            for joined, known, n, fresh in zip(*(c.to_pylist() for c in batch.columns)):
                 s = joined.split(BETWEEN)
-                k = 0
-                for a, b in zip(path, s):
-                    if a != b:
-                        break
+                k, least = 0, min(len(path), len(s))
+                while k < least and path[k] == s[k]:
                     k += 1
                 pop(k)
                 for w in s[k:]:
                     path.append(w)
                     counts.append(0)
                     records.append(0)
-                counts[-1] += n
-                for i, f in enumerate(fresh):
-                    records[i] += f
-                # a suffix that is a prefix of the one before it in order is on the path: its count went to its own level
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.list_(pa.string())), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64())], ["terms", "occurrences", "records"])
-        last: tuple[list, list, list] = ([], [], [])
-        while path:
-            last[0].append(list(path))
-            last[1].append(counts.pop())
-            last[2].append(records.pop())
-            path.pop()
-            if path:
-                counts[-1] += last[1][-1]
-        yield pa.RecordBatch.from_arrays([pa.array(last[0], pa.list_(pa.string())), pa.array(last[1], pa.int64()), pa.array(last[2], pa.int64())], ["terms", "occurrences", "records"])
+                counts[-1] += n  # a suffix that is a prefix of the one before it in order is on the path: its count goes to its own level
+                for i in range(known, len(s)):
+                    records[i] += fresh
+            yield told()
+        pop(0)
+        yield told()
 
     if max_len < 1:
         raise ValueError("max_len must be at least 1")
-    suffixes = arrow_stage(pick(df, t=text).where("t is not null"), cut, "suffix string, v array<int>")
+    suffixes = arrow_stage(pick(df, t=text).where("t is not null"), cut, "suffix string, known int, n long, fresh long")
     first, second = (F.split_part("suffix", F.lit(BETWEEN), F.lit(k)) for k in (1, 2))
     salt = F.lit(0) if max_len == 1 else F.pmod(F.xxhash64(second), F.lit(ROUTES_PER_TERM))
     routed = suffixes.repartition(first, salt).sortWithinPartitions(F.col("suffix").desc())
-    found = arrow_stage(routed, stack, "terms array<string>, occurrences long, records long")
-    if max_len == 1:
-        return found
-    return found.groupBy("terms").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
+    found = arrow_stage(routed, stack, "run string, occurrences long, records long")
+    if max_len > 1:
+        found = found.groupBy("run").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
+    return found.where(F.col("records") >= min_records).select(F.split("run", BETWEEN).alias("terms"), "occurrences", "records")
 
 
 def marked_terms(df: DataFrame, text: str = "text", rare_records: int = RARE_RECORDS, common_share: float = COMMON_SHARE) -> DataFrame:

@@ -38,6 +38,8 @@ def test_frequencies(df, monkeypatch, max_len, held):
                 records[g].add(i)
     got = {tuple(r.terms): (r.occurrences, r.records) for r in term_frequencies(df, max_len=max_len).collect()}
     assert got == {g: (c, len(records[g])) for g, c in count.items()}
+    some = {tuple(r.terms) for r in term_frequencies(df, max_len=max_len, min_records=3).collect()}
+    assert some == {g for g in count if len(records[g]) >= 3}
 
 
 def test_marks(df, spark):
