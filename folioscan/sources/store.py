@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folioscan.functions.topics import TopicError, checked
-from folioscan.operators.index import Index, build_index, vocabulary_of
+from folioscan.operators.index import Index, build_index, lengths_of, ordered, vocabulary_of
 from folioscan.schema import DOCUMENT, ENGINE_VERSION, FORMAT, META_FILE, SCHEMA_VERSION, STORED, DocumentInput, IndexCompatibility
 
 MANIFEST = "manifest.json"
@@ -255,9 +255,8 @@ class Store:
         if top is None:
             shutil.rmtree(self._root / name)
             return
-        built = build_index(docs)
-        built.postings.repartitionByRange("term", "row_id").sortWithinPartitions("term", "row_id").write.parquet(f"{out}/postings")
-        built.lengths.write.parquet(f"{out}/lengths")
+        ordered(build_index(docs).postings).write.parquet(f"{out}/postings")
+        lengths_of(docs, self._read([name], "postings", _POSTINGS)).write.parquet(f"{out}/lengths")
         manifest["segments"].append(name)
         manifest["next_row"] = top + 1
 

@@ -8,3 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     """One table of ``directory`` as it is stored; Spark prunes its columns and pushes filters down."""
     return spark.read.parquet(f"{directory}/{name}.parquet")
+
+
+def spread(scan: DataFrame, key: str) -> DataFrame:
+    """A scan of fewer partitions than the session has cores, such as a single row group, spread over all by ``key``.
+
+    Larger scans stay as they are: they are never shuffled for this.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores, key) if scan.rdd.getNumPartitions() < cores else scan
