@@ -9,17 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscan.llm import distinctive, frequency, leakage, lookalike, mixing, near, scans, spans, split, subjects
-from folioscan.sources.tables import table
+from folioscan.sources.tables import spread, table
 
 TOKENIZER = os.environ.get("FOLIOSCAN_TOKENIZER", "/opt/tokenizers/byte_bpe_multi_50k.tiktoken")
 
 
 def _inputs(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "document_input")
+    return spread(table(spark, d, "document_input"), "row_id")
 
 
 def _documents(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents")
+    return spread(table(spark, d, "documents"), "doc_id")
 
 
 def _repaired(spark: SparkSession, d: str) -> DataFrame:

@@ -26,7 +26,7 @@ def boundaries(text: str) -> dict[int, int]:
 
     places: dict[int, int] = {}
     for m in re.finditer(r"\s+", text):
-        for p in {m.start(), m.end()}:
+        for p in range(m.start(), m.end() + 1):
             places[p] = 4
     for rank, pattern in ((3, _CLAUSE), (2, _SENTENCE), (1, _LINE), (0, _PARAGRAPH)):
         for m in re.finditer(pattern, text):
