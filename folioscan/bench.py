@@ -17,6 +17,7 @@ WEIGHTS = ((".*", 0.5), ("[", 1.0), ("(", 1.5), ("{", 0.8))
 REPEATS = ("+", "*")
 FAST_MS, SLOW_MS = 50, 200
 FEW_EXPANSIONS = 100
+ALL_TERMS = 1000
 RESULT = "query_name string, regex_terms array<string>, slop int, max_expansions int, execution_time_ms long, result_count int, memory_usage_mb double"
 
 
@@ -109,13 +110,18 @@ class RegexBenchmarker:
         return self.spark.createDataFrame(rows, "query_name string, execution_time_ms long, result_count int, error string")
 
     def run_diagnostic(self, cases: Sequence[TestCase]) -> DataFrame:
-        """How many of up to 10 results each case finds with 100 expansions, an error told in its row."""
+        """How many of up to 10 results each case finds with 100 expansions, and how many records hold any term if that takes no
+        more than ``ALL_TERMS`` expansions; an error is told in its row."""
         rows = []
         for c in cases:
             try:
                 rows.append((c.query_name, self._once(TestCase(c.query_name, c.regex_terms, c.facets, c.slop, 100), 10), None))
             except ValueError as e:
                 rows.append((c.query_name, None, str(e)))
+        try:
+            rows.append(("any term", self.searcher.count([".*"], max_expansions=ALL_TERMS), None))
+        except ValueError as e:
+            rows.append(("any term", None, str(e)))
         return self.spark.createDataFrame(rows, "query_name string, result_count int, error string")
 
 
@@ -135,6 +141,21 @@ def comprehensive_cases(words: Sequence[str]) -> list[TestCase]:
     return [TestCase(n, t, [], s, m) for n, t, s, m in shapes]
 
 
+def focused_cases(words: Sequence[str]) -> list[TestCase]:
+    """Single patterns of growing reach around ``words`` (two at least), with caps from 50 to 10,000."""
+    a, b = words[:2]
+    shapes = [(a, 50), (f"{a}.*", 100), (f".*{a}", 500), (f".*{a}.*", 1000), (f"(?:{a}|{b})", 50), (f"{a[:2]}.*", 5000), (f"{a[:1]}.{{1,3}}", 10_000), (f"[{a[0]}{b[0]}].*", 10_000), (".{3}", 10_000)]
+    return [TestCase(p, [p], [], 0, cap) for p, cap in shapes]
+
+
+def report(results: DataFrame) -> str:
+    """The timed runs from the fastest to the slowest, and how many were fast, medium and slow. For suites, whose size is that of their cases."""
+    rows = timed(results).orderBy("execution_time_ms", "query_name").collect()
+    lines = [f"{r.execution_time_ms:>8} ms  {r.result_count or 0:>4} results  {r.query_name}" for r in rows]
+    named = {r.speed: r.runs for r in speeds(results).collect()}
+    return "\n".join([*lines, ", ".join(f"{named.get(s, 0)} {s}" for s in ("fast", "medium", "slow"))])
+
+
 def timed(results: DataFrame) -> DataFrame:
     """Results without runs that weren't timed (null or negative times)."""
     return results.where("execution_time_ms >= 0")

@@ -47,7 +47,10 @@ def test_benchmarks(spark, tmp_path):
     assert {(r.kind, r.part) for r in bench.patterns(got).collect()} >= {("terms", "single"), ("terms", "multi"), ("expansion", "high")}
     focused = runner.run_focused([*cases, bench.TestCase("bad", [".*"], [], 0, 1)]).collect()
     assert focused[2].error and focused[0].error is None
-    assert [r.result_count for r in runner.run_diagnostic(cases).collect()] == [1, 1]
+    assert [r.result_count for r in runner.run_diagnostic(cases).collect()] == [1, 1, 1]
+    told = bench.report(got).splitlines()
+    assert len(told) == 3 and "slow" in told[2]
+    assert len(runner.run_focused(bench.focused_cases(["alpha", "beta"])[:2]).collect()) == 2
     assert len(bench.comprehensive_cases(["alpha", "beta", "gamma", "delta"])) == 21
     engine.close()
 
