@@ -11,6 +11,8 @@ from folioscan.functions import topics as T
 from folioscan.operators.index import Index
 from folioscan.operators.match import placements, whole_term
 
+#: Terms of all searches together that are broadcast to the postings; more are joined.
+BROADCAST_TERMS = 100_000
 MATCHED, NO_TERMS, TOO_MANY = "matched", "no terms", "too many terms"
 
 
@@ -47,7 +49,9 @@ def case_hits(index: Index, cases: DataFrame) -> DataFrame:
     counts: dict[str, int] = {}
     if live:
         wanted = sorted({number[p] for r in live for p in r.regex_terms})
-        terms = F.broadcast(matched.where(F.col("pattern").isin(wanted)))  # sum of the searches' max_expansions at most
+        terms = matched.where(F.col("pattern").isin(wanted))
+        if sum(sizes[n] for n in wanted) <= BROADCAST_TERMS:
+            terms = F.broadcast(terms)
         placed = index.postings.join(terms, "term").groupBy("row_id", "pattern").agg(F.array_sort(F.flatten(F.collect_list("positions"))).alias("positions"))
         per_row = placed.groupBy("row_id").agg(F.map_from_entries(F.collect_list(F.struct("pattern", "positions"))).alias("at"))
         held = per_row.join(index.docs.select("row_id", "topics"), "row_id")
