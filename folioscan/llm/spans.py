@@ -24,8 +24,8 @@ CHUNK_CHARS = 1 << 19
 
 
 def window_sizes(min_chars: int) -> tuple[int, int]:
-    """Gram length g and window w, with which any run of ``min_chars`` holds at least K + 1 boundaries."""
-    g = max(1, min(32, min_chars // 5))
+    """Gram length g and window w, with which any run of ``min_chars`` holds at least K + 1 boundaries; w is under 2 g."""
+    g = max(1, min_chars // 5)
     return g, max(1, (min_chars - g + 1) // (K + 1))
 
 
@@ -53,7 +53,7 @@ def _grams(codes: np.ndarray, g: int) -> np.ndarray:
 
 
 def text_boundaries(codes: np.ndarray, first: np.ndarray, g: int, w: int) -> tuple[np.ndarray, np.ndarray]:
-    """Token boundaries of the texts that ``codes`` holds one after another, and the gram hash at each.
+    """Token boundaries of the texts that ``codes`` holds one after another, and the hashes of all grams.
 
     ``first``: where each text begins, and the end. A place is a boundary if its gram has the least hash, the last
     of equal ones, in some window of ``w`` grams that lies whole within its text: this depends on nothing but
@@ -79,20 +79,23 @@ def text_boundaries(codes: np.ndarray, first: np.ndarray, g: int, w: int) -> tup
     place = (low - (least & low)).astype(np.int64)
     place += (start - place + (1 << _POSITION_BITS) - 1 >> _POSITION_BITS) << _POSITION_BITS
     place = np.unique(place[whole])
-    return place, grams[place]
+    return place, grams
 
 
 def _edge_rows(texts: list[str], classes: list[int], g: int, w: int) -> tuple[np.ndarray, ...]:
     codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
     first = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
-    place, gram = text_boundaries(codes, first, g, w)
+    place, grams = text_boundaries(codes, first, g, w)
     if len(place) <= K:
         return tuple(np.empty(0, np.int64) for _ in range(5))
     text = np.searchsorted(first, place, side="right") - 1
     n = len(place) - K
-    h = gram[:n].copy()
-    for k in range(1, K + 1):
-        h = mix(h * np.uint64(31) + gram[k : k + n] + (place[k : k + n] - place[k - 1 : k - 1 + n]).astype(np.uint64) * _GOLDEN)
+    # a token by its first gram, the gram that ends with it, and its length: no two grams leave a gap, as tokens are under 2 g
+    size = np.diff(place)
+    token = mix(mix(grams[place[:-1]] + size.astype(np.uint64) * _GOLDEN) + grams[place[:-1] + np.maximum(0, size - g)])
+    h = grams[place[K:]].copy()
+    for k in range(K):
+        h = mix(h * np.uint64(31) + token[k : k + n])
     same = text[:n] == text[K:]
     seq = np.arange(len(place)) - np.searchsorted(text, text, side="left")
     inside = place - first[text]

@@ -122,6 +122,11 @@ def span_rows():
     rows += [text(50) + shared + text(90), shared[20:] + text(100), text(10) + shared[:230]]
     rows += [text(70) + edge + "1" + text(40), "2" + edge + "3" + text(10), text(40) + "4" + under + "5" + text(60), "6" + under + "7" + text(60)]
     rows += ["a" * 450, "b" + "a" * 300, "ab" * 150, text(30) + "ab" * 120]
+    # the same sentences in another order: many short common runs, few long ones
+    sentences = [" ".join(r.choice(["of", "the", "in", "and", "note", "page"]) for _ in range(r.randint(6, 16))) + ". " for _ in range(30)]
+    for _ in range(12):
+        r.shuffle(sentences)
+        rows.append("".join(sentences[:14]))
     rows += [rows[0]] * 4 + [shared[:199], "", "x" * 200]
     return [(n, t) for n, t in enumerate(rows)] + [(900, None)]
 
