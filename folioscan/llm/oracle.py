@@ -1,6 +1,6 @@
 """SQL of the training-data queries, for DuckDB, where SQL can express them on whole tables.
 
-Scans (p1), canonical forms (p3), subjects (p10), the pieces of a text and the mixtures have none: the tests hold
+Scans (p1), canonical forms (p3), subjects (p10), the pieces of a text, cleaned texts and the mixtures have none: the tests hold
 them against brute force, round trips and held-out accuracy.
 """
 
@@ -37,6 +37,13 @@ def oracle_sql() -> dict[str, str]:
             FROM counts JOIN terms USING (term) JOIN lengths USING (row_id), whole""",
         "p5_found": """WITH grams AS (SELECT DISTINCT row_id, hash(substr(text, i, 200)) AS h FROM (SELECT row_id, text, unnest(range(1, length(text) - 198)) AS i FROM document_input WHERE length(text) >= 200))
             SELECT DISTINCT a.row_id AS row_id_a, b.row_id AS row_id_b FROM grams a JOIN grams b ON a.h = b.h AND a.row_id < b.row_id""",
+        "p5_shares": """WITH grams AS (SELECT row_id, i, hash(substr(text, i, 200)) AS h FROM (SELECT row_id, text, unnest(range(1, length(text) - 198)) AS i FROM document_input WHERE length(text) >= 200)),
+            held AS (SELECT h FROM grams GROUP BY h HAVING count(DISTINCT row_id) > 1),
+            steps AS (SELECT row_id, least(200, coalesce(lead(i) OVER (PARTITION BY row_id ORDER BY i) - i, 200)) AS step FROM grams SEMI JOIN held USING (h)),
+            covered AS (SELECT row_id, CAST(sum(step) AS BIGINT) AS n FROM steps GROUP BY row_id),
+            copies AS (SELECT text, count(*) - 1 AS copies FROM document_input WHERE length(text) >= 200 GROUP BY text)
+            SELECT row_id, reference, length(text) AS chars, coalesce(n, 0) AS shared_chars, CASE WHEN length(text) > 0 THEN round(coalesce(n, 0) / length(text), 6) ELSE 0.0 END AS share,
+              coalesce(copies, 0) AS copies FROM document_input LEFT JOIN covered USING (row_id) LEFT JOIN copies USING (text) WHERE text IS NOT NULL""",
         "p6_found": f"""WITH {_TERMS} SELECT term, CASE WHEN records <= 1 THEN 'rare' ELSE 'common' END AS mark FROM terms
             WHERE records <= 1 OR records > 0.1 * (SELECT count(*) FROM document_input)""",
         "p6_terms": f"""WITH {_TERMS} SELECT term, CAST(c AS BIGINT) AS occurrences, records, CASE WHEN records <= 1 THEN 'rare' WHEN records > 0.1 * (SELECT count(*) FROM document_input) THEN 'common' END AS mark FROM terms""",
