@@ -1,4 +1,4 @@
-"""Near-duplicate records by weighted signatures of Poisson processes, bands and exact verification."""
+"""Near-duplicate records by weighted signatures of Poisson processes and bands, an exact prefix filter for all others, and verification."""
 
 from __future__ import annotations
 
@@ -25,6 +25,12 @@ BITS = 128
 SLOTS = 1 << 20
 #: Documents whose signatures are computed at once.
 CHUNK = 400
+#: Words of 64 parity bits of a term set: with each posting of the prefix filter, and for its pairs afterwards.
+NARROW, WIDE = 4, 8
+#: Pairs of postings looked at together.
+PAIRS = 1 << 20
+#: Taken off before rounding up, so that no bound is a term too high.
+EPS = 1e-9
 
 _GOLDEN, _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -115,8 +121,8 @@ class _Hasher(dict):
         return list(map(self.__getitem__, terms))
 
 
-def _level_table(df: DataFrame) -> np.ndarray:
-    """Weight level for each bin of term hashes, from the numbers of records; 1 for terms in all, ``MAX_LEVEL`` for the rarest."""
+def _level_table(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """For each bin of term hashes its weight level, 1 for terms in all records, ``MAX_LEVEL`` for the rarest, and its number of records."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, bins, rows = _Hasher(), np.zeros(COUNT_BINS + 1, np.int64), 0
@@ -134,19 +140,26 @@ def _level_table(df: DataFrame) -> np.ndarray:
     n[got["bin"].to_numpy()] = got["n"].to_numpy()
     rows = max(n[COUNT_BINS], 2.0)
     rarity = np.log(rows / np.clip(n[:COUNT_BINS], 1, rows)) / np.log(rows)
-    return (1 + np.floor((MAX_LEVEL - 1) * rarity**RARITY_POWER)).astype(np.uint8)
+    return (1 + np.floor((MAX_LEVEL - 1) * rarity**RARITY_POWER)).astype(np.uint8), np.minimum(n[:COUNT_BINS], 2**32 - 1).astype(np.uint32)
+
+
+def _parity(docs: np.ndarray, bit: np.ndarray, n_docs: int, words: int) -> pa.ListArray:
+    """For each set ``words`` x 64 bits, each flipped by its terms: two sets differ in no more bits than terms."""
+    out = np.zeros(n_docs * words, np.uint64)
+    np.bitwise_xor.at(out, docs * words + (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
+    return pa.ListArray.from_arrays(pa.array(np.arange(n_docs + 1, dtype=np.int32) * words), pa.array(out.view(np.int64)))
 
 
 def signature_table(df: DataFrame, row_id: str, text: str, min_terms: int) -> DataFrame:
-    """``(row_id, k1, terms, bands, b1, b2)`` of records with enough distinct terms, written once.
+    """``(row_id, k1, terms, bands, b1, b2, narrow, wide)`` of records with enough distinct terms, written once.
 
-    ``k1``: a hash of the whole term set; ``terms``: the sorted term hashes; ``bands``: a hash per band;
-    ``b1``, ``b2``: ``BITS`` bits of the signature.
+    ``k1``: a hash of the whole term set; ``terms``: the term hashes, rarest first, in one order for all records; ``bands``:
+    a hash per band; ``b1``, ``b2``: ``BITS`` bits of the signature; ``narrow``, ``wide``: parity bits of the term set.
     """
     docs = pick(df, i=row_id, t=text).where("t is not null and t != ''")
     levels = df.sparkSession.sparkContext.broadcast(_level_table(docs))
     m = BANDS * ROWS
-    names = ["row_id", "k1", "terms", "bands", "b1", "b2"]
+    names = ["row_id", "k1", "terms", "bands", "b1", "b2", "narrow", "wide"]
 
     def chunk(ids: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
         import xxhash
@@ -154,7 +167,10 @@ def signature_table(df: DataFrame, row_id: str, text: str, min_terms: int) -> Da
         sizes = np.array([len(s) for s in sets])
         flat = np.concatenate(sets)
         docs_ = np.repeat(np.arange(len(sets)), sizes)
-        level = levels.value[(flat % np.uint64(COUNT_BINS)).astype(np.int64)].astype(np.int64)
+        bins = (flat % np.uint64(COUNT_BINS)).astype(np.int64)
+        level = levels.value[0][bins].astype(np.int64)
+        rare_first = flat[np.lexsort((flat, levels.value[1][bins], docs_))]
+        spread_bits = mix(flat)
         sig = bag_signatures(docs_, flat, level, len(sets), m)
         values = mix(sig.view(np.uint32).astype(np.uint64) + np.arange(m, dtype=np.uint64) * _GOLDEN)
         bands = np.zeros((len(sets), BANDS), np.uint64)
@@ -167,9 +183,11 @@ def signature_table(df: DataFrame, row_id: str, text: str, min_terms: int) -> Da
             [
                 pa.array(ids, pa.int64()),
                 pa.array(keys.view(np.int64)),
-                pa.ListArray.from_arrays(offsets, pa.array(flat.view(np.int64))),
+                pa.ListArray.from_arrays(offsets, pa.array(rare_first.view(np.int64))),
                 pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS), pa.array(bands.reshape(-1).view(np.int64))),
                 *(pa.array(bits[:, x].copy()) for x in (0, 1)),
+                _parity(docs_, spread_bits % np.uint64(NARROW * 64), len(sets), NARROW),
+                _parity(docs_, (spread_bits >> np.uint64(32)) % np.uint64(WIDE * 64), len(sets), WIDE),
             ],
             names,
         )
@@ -190,7 +208,66 @@ def signature_table(df: DataFrame, row_id: str, text: str, min_terms: int) -> Da
         if ids:
             yield chunk(ids, sets)
 
-    return materialise(arrow_stage(docs, stage, "row_id long, k1 long, terms array<long>, bands array<long>, b1 long, b2 long"))
+    return materialise(arrow_stage(docs, stage, "row_id long, k1 long, terms array<long>, bands array<long>, b1 long, b2 long, narrow array<long>, wide array<long>"))
+
+
+def prefix_pairs(table: DataFrame, similarity: float) -> DataFrame:
+    """``(a, b)``, keys of two term sets, ``a < b``, once: every pair whose Jaccard similarity is at least ``similarity``, and some others.
+
+    Such a pair has so many terms in common that the first of them, in the order of ``terms``, is among the first
+    ``n - ceil(similarity n) + 1`` of the larger set and among fewer of the smaller. Postings of these terms are sorted by
+    size; a pair goes on if sizes, the places of the term and the parity bits leave room for enough common terms. All of
+    these are bounds, none an estimate. Postings are held as far as sizes can match, one term at a time.
+    """
+    shared = similarity / (1 + similarity)
+
+    def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            old = len(held[0]) if held else 0
+            cols = [np.concatenate(x) for x in zip(held, new)] if held else new
+            again = np.zeros(len(cols[0]), bool)  # further records with the same term set
+            again[1:] = (cols[0][1:] == cols[0][:-1]) & (cols[2][1:] == cols[2][:-1])
+            again[:old] = False
+            cols = [c[~again] for c in cols]
+            h, n, k1, p = cols[:4]
+            n, p = n.astype(np.int64), p.astype(np.int64)
+            bits = np.stack(cols[4:], axis=1).view(np.uint64)
+            at = np.cumsum(np.concatenate([[0], h[1:] != h[:-1]])) << 32  # term, then size: in order
+            small = np.nonzero(p <= n - np.ceil(2 * shared * n - EPS))[0]
+            lo = np.searchsorted((at + n)[small], at + np.ceil(similarity * n - EPS).astype(np.int64))
+            count = np.maximum(np.searchsorted(small, np.arange(len(h))) - lo, 0)
+            count[:old] = 0
+            begin, whole = 0, np.cumsum(count)
+            while begin < len(h):
+                end = max(begin + 1, int(np.searchsorted(whole, (whole[begin - 1] if begin else 0) + PAIRS, "right")))
+                c = count[begin:end]
+                j = np.repeat(np.arange(begin, begin + len(c)), c)
+                i = small[np.arange(len(j)) + np.repeat(lo[begin:end] - np.cumsum(c) + c, c)] if len(j) else j
+                both = n[i] + n[j]
+                need = np.ceil(shared * both - EPS).astype(np.int64)
+                ok = np.minimum(n[i] - p[i], n[j] - p[j]) >= need
+                i, j, room = i[ok], j[ok], (both - 2 * need)[ok]
+                ok = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64) <= room
+                x, y = k1[i[ok]], k1[j[ok]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+                begin = end
+            keep = (at == at[-1]) & (n >= np.ceil(similarity * n[-1] - EPS))
+            held = [c[keep] for c in cols]
+
+    n = F.size("terms")
+    first = F.slice("terms", F.lit(1), (n - F.ceil(F.lit(similarity) * n - F.lit(EPS)) + 1).cast("int"))
+    postings = table.select("k1", n.alias("n"), "narrow", F.posexplode(first).alias("p", "h"))
+    postings = postings.select("h", "n", "k1", "p", *[F.col("narrow")[x].alias(f"w{x}") for x in range(NARROW)])
+    found = arrow_stage(postings.repartition("h").sortWithinPartitions("h", "n", "k1"), stage, "a long, b long").distinct()
+    wide = table.groupBy("k1").agg(F.first(F.struct(F.size("terms").alias("n"), "wide")).alias("v"))
+    differ = sum((F.bit_count(F.col("v.wide")[x].bitwiseXOR(F.col("u.wide")[x])) for x in range(WIDE)), F.lit(0))
+    both = F.col("v.n") + F.col("u.n")
+    room = both - 2 * F.ceil(F.lit(shared) * both - F.lit(EPS))
+    return found.join(wide.toDF("a", "v"), "a").join(wide.toDF("b", "u"), "b").where(differ <= room).select("a", "b")
 
 
 def near_duplicates(
@@ -201,8 +278,8 @@ def near_duplicates(
     Returns ``(members, links)``: ``members`` is ``(row_id, class_id)`` for every record with at least ``min_terms`` distinct terms, the class named
     by its least ``row_id``; ``links`` is ``(class_a, class_b, similarity)`` with ``class_a < class_b``, where the common terms are at
     least ``similarity`` of the distinct terms of both together. Copies, however many, are one class, so no pairs
-    arise among them. Candidates agree in at least one band of the weighted signature; those whose signature bits
-    are too far apart are dropped before the term sets are compared. Null, empty and short texts have no class;
+    arise among them. Candidates agree in at least one band of the weighted signature, those whose signature bits
+    are too far apart dropped, or come from the exact prefix filter, which leaves out no pair. Null, empty and short texts have no class;
     rows with an equal id join the classes of all their texts; further columns are ignored.
     """
     table = signature_table(df, row_id, text, min_terms)
@@ -216,7 +293,8 @@ def near_duplicates(
     # bits differ with probability (1 - s) / 2 at weighted similarity s; the weights may take s down to `similarity` - 0.2
     expected = BITS * (1.2 - similarity) / 2
     most = int(expected + 3.5 * (expected * (1 - expected / BITS)) ** 0.5)
-    close = materialise(pairs.join(bits.toDF("a", "v"), "a").join(bits.toDF("b", "u"), "b").where(differ <= most).select("a", "b"))
+    banded = pairs.join(bits.toDF("a", "v"), "a").join(bits.toDF("b", "u"), "b").where(differ <= most).select("a", "b")
+    close = materialise(banded.unionByName(prefix_pairs(table, similarity)).distinct())
     # term sets of the classes in these pairs only: the broadcast has SLOTS rows at most and may let others through
     ends = close.select(F.explode(F.array("a", "b")).alias("k1"))
     some = F.broadcast(ends.select(F.pmod("k1", F.lit(SLOTS)).alias("slot")).distinct())

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 import regex
 
-from folioscan.llm.near import MAX_LEVEL, bag_signatures, linked_pairs, linked_rows, near_duplicates
+from folioscan.llm.near import MAX_LEVEL, bag_signatures, linked_pairs, linked_rows, near_duplicates, prefix_pairs, signature_table
 from folioscan.llm.spans import K, repeated_spans, shared_pairs, shared_shares, shared_spans, text_boundaries, window_sizes
 
 
@@ -78,6 +78,46 @@ def test_near_duplicates_against_brute_force(spark):
     assert hub.select("class_id").distinct().count() == 1
 
 
+def test_near_duplicates_with_new_terms_only(spark):
+    """Copies whose changed terms occur nowhere else are as rare as terms get: none is left out down to the bound."""
+    common = [f"w{k}" for k in range(250)]
+    rows = []
+    for k in range(60):
+        r = random.Random(k)
+        base = r.sample(common, 70)
+        replaced = [*base[:58], *(f"n{k}x{x}" for x in range(12))]  # 58 of 82: 0.707
+        inserted = [*base, *(f"m{k}x{x}" for x in range(30))]  # 70 of 100: 0.7
+        under = [*base, *(f"u{k}x{x}" for x in range(31))]  # 70 of 101
+        for x in (base, replaced, inserted, under, base):
+            r.shuffle(x)
+            rows.append((len(rows), " ".join(x)))
+    df = spark.createDataFrame(rows, "row_id long, text string").repartition(4)
+    got = {(r.row_id_a, r.row_id_b) for r in linked_pairs(*near_duplicates(df)).collect()}
+    assert got == similar(rows)
+    assert {(5 * k, 5 * k + 2) for k in range(60)} <= got and not {(5 * k, 5 * k + 3) for k in range(60)} & got
+
+
+@pytest.mark.parametrize("similarity", [0.5, 0.7, 0.9])
+@pytest.mark.parametrize("batch", [7, 10_000])
+def test_prefix_pairs_leave_out_none(spark, similarity, batch):
+    r = random.Random(5)
+    rows = []
+    for k in range(60):
+        base = r.sample(range(90), r.randint(20, 60))
+        rows += [(len(rows) + n, " ".join(f"w{w}" for w in {*base[n * 3 :], *r.sample(range(90), n)})) for n in range(4)]
+    df = spark.createDataFrame(rows, "row_id long, text string")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        table = signature_table(df, "row_id", "text", 20)
+        keys = {x.row_id: x.k1 for x in table.select("row_id", "k1").collect()}
+        got = [(x.a, x.b) for x in prefix_pairs(table, similarity).collect()]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    expected = {tuple(sorted((keys[a], keys[b]))) for a, b in similar(rows, similarity) if keys[a] != keys[b]}
+    assert expected <= set(got) and len(got) == len(set(got))
+
+
 def test_near_duplicates_of_nothing(spark):
     df = spark.createDataFrame([(1, None), (2, "a b c")], "row_id long, text string")
     for frame in (df, df.limit(0)):
