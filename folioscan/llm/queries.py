@@ -77,7 +77,7 @@ def p6_terms(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_phrases(spark: SparkSession, d: str) -> DataFrame:
-    return frequency.term_frequencies(_inputs(spark, d), max_len=2, min_records=2).select(F.array_join("terms", " ").alias("phrase"), "occurrences", "records")
+    return frequency.term_frequencies(_inputs(spark, d), max_len=3, min_records=2).select(F.array_join("terms", " ").alias("phrase"), "occurrences", "records")
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:

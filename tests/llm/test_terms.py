@@ -8,6 +8,7 @@ import regex
 from folioscan.llm import frequency
 from folioscan.llm.distinctive import distinctive_terms
 from folioscan.llm.frequency import marked_terms, term_frequencies
+from folioscan.llm.queries import p6_phrases
 
 random.seed(3)
 WORDS = ["the", "The", "of", "שלום", "שָׁלוֹם", "é", "x" * 40, "א" * 20, "rare1", "rare2", "b-c", "12"]
@@ -66,3 +67,9 @@ def test_ppmi(df):
     some = {(r.row_id, r.term) for r in distinctive_terms(df, min_tf=2, max_records=20).collect()}
     assert some == {k for k, v in expected.items() if v[0] >= 2 and v[1] <= 20}
     assert distinctive_terms(df.limit(0)).collect() == []
+
+
+def test_phrases_have_up_to_three_terms(spark, tmp_path):
+    spark.createDataFrame([(1, "One two three four"), (2, "zero one two, three"), (3, "two")], "row_id long, text string").write.parquet(f"{tmp_path}/document_input.parquet")
+    got = {r.phrase: (r.occurrences, r.records) for r in p6_phrases(spark, str(tmp_path)).collect()}
+    assert got == {"one": (2, 2), "two": (3, 3), "three": (2, 2), "one two": (2, 2), "two three": (2, 2), "one two three": (2, 2)}
