@@ -51,10 +51,17 @@ def oracle_sql() -> dict[str, str]:
             g AS (SELECT row_id, array_to_string(a[i:i + k - 1], ' ') AS phrase FROM (SELECT row_id, a, k, unnest(range(1, len(a) - k + 2)) AS i FROM w, (SELECT unnest([1, 2, 3]) AS k)))
             SELECT phrase, count(*) AS occurrences, count(DISTINCT row_id) AS records FROM g GROUP BY phrase HAVING count(DISTINCT row_id) > 1""",
         "p7_found": f"{_SIMILAR} SELECT row_id_a, row_id_b FROM pairs",
-        "p7_groups": f"""{_SIMILAR}, both_ways AS (SELECT row_id_a AS row_id, row_id_b AS other FROM pairs UNION ALL SELECT row_id_b, row_id_a FROM pairs),
+        "p7_links": f"""{_SIMILAR}, both_ways AS (SELECT row_id_a AS row_id, row_id_b AS other FROM pairs UNION ALL SELECT row_id_b, row_id_a FROM pairs),
             sets AS (SELECT row_id, md5(string_agg(term, ' ' ORDER BY term)) AS s FROM counts WHERE row_id IN (SELECT row_id FROM sizes) GROUP BY row_id),
             classes AS (SELECT row_id, min(row_id) OVER (PARTITION BY s) AS class_id FROM sets)
             SELECT row_id, class_id, (SELECT count(*) FROM both_ways b WHERE b.row_id = classes.row_id) AS links FROM classes""",
+        "p7_groups": f"""WITH RECURSIVE {_TERMS},
+            sizes AS (SELECT row_id, sum(tf) AS n FROM counts GROUP BY row_id HAVING count(*) >= 20),
+            common AS (SELECT a.row_id AS x, b.row_id AS y, sum(least(a.tf, b.tf)) AS k FROM counts a JOIN counts b ON a.term = b.term AND a.row_id != b.row_id GROUP BY 1, 2),
+            edges AS (SELECT x, y FROM common JOIN sizes s ON s.row_id = x JOIN sizes t ON t.row_id = y WHERE k >= 0.8 * (s.n + t.n - k)),
+            reach(row_id, other) AS (SELECT row_id, row_id FROM sizes UNION SELECT row_id, y FROM reach JOIN edges ON other = x),
+            named AS (SELECT row_id, min(other) AS group_id FROM reach GROUP BY row_id)
+            SELECT row_id, group_id, count(*) OVER (PARTITION BY group_id) AS group_rows FROM named""",
         "p8_found": f"SELECT DISTINCT doc_id, item_id FROM ({_grams('documents', 'doc_id')}) JOIN ({_grams('eval_item', 'item_id')}) USING (g)",
         "p9_found": r"""WITH lengths AS (SELECT source, len(list_filter(regexp_extract_all(text, '[\p{L}\p{M}\p{N}]+'), lambda x: strlen(x) < 40)) AS n FROM documents),
             have AS (SELECT source, sum(n) AS tokens FROM lengths GROUP BY source)

@@ -84,10 +84,14 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return near.linked_pairs(*near.near_duplicates(_inputs(spark, d)))
 
 
-def p7_groups(spark: SparkSession, d: str) -> DataFrame:
+def p7_links(spark: SparkSession, d: str) -> DataFrame:
     return near.linked_rows(*near.near_duplicates(_inputs(spark, d)))
 
 
+def p7_groups(spark: SparkSession, d: str) -> DataFrame:
+    return near.near_groups(_inputs(spark, d))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaked_items(_documents(spark, d), table(spark, d, "eval_item")).select("doc_id", "item_id")
 

@@ -4,8 +4,9 @@ from itertools import combinations
 import numpy as np
 import pytest
 import regex
+from pyspark.sql import functions as F
 
-from folioscan.llm.near import MAX_LEVEL, bag_signatures, linked_pairs, linked_rows, near_duplicates, prefix_pairs, signature_table
+from folioscan.llm.near import MAX_LEVEL, MISS, REGISTERS, ROWS, _texts, bag_signatures, band_count, band_hashes, components, linked_pairs, linked_rows, near_duplicates, near_groups, prefix_pairs
 from folioscan.llm.spans import K, repeated_spans, shared_pairs, shared_shares, shared_spans, text_boundaries, window_sizes
 
 
@@ -79,7 +80,7 @@ def test_near_duplicates_against_brute_force(spark):
 
 
 def test_near_duplicates_with_new_terms_only(spark):
-    """Copies whose changed terms occur nowhere else are as rare as terms get: none is left out down to the bound."""
+    """Copies whose changed terms occur nowhere else are as rare as terms get: the exact way leaves out none down to the bound."""
     common = [f"w{k}" for k in range(250)]
     rows = []
     for k in range(60):
@@ -92,9 +93,77 @@ def test_near_duplicates_with_new_terms_only(spark):
             r.shuffle(x)
             rows.append((len(rows), " ".join(x)))
     df = spark.createDataFrame(rows, "row_id long, text string").repartition(4)
-    got = {(r.row_id_a, r.row_id_b) for r in linked_pairs(*near_duplicates(df)).collect()}
+    got = {(r.row_id_a, r.row_id_b) for r in linked_pairs(*near_duplicates(df, exact=True)).collect()}
     assert got == similar(rows)
     assert {(5 * k, 5 * k + 2) for k in range(60)} <= got and not {(5 * k, 5 * k + 3) for k in range(60)} & got
+    banded = {(r.row_id_a, r.row_id_b) for r in linked_pairs(*near_duplicates(df)).collect()}
+    assert banded <= got and len(banded) >= 0.98 * len(got)
+
+
+@pytest.mark.parametrize("similarity", [0.7, 0.8])
+def test_bands_miss_as_rarely_as_told(similarity):
+    """Bands that share registers are a little worse than independent ones; pairs above the similarity are found all the same."""
+    rng = np.random.default_rng(6)
+    bands = band_count(similarity)
+    assert (1 - similarity**ROWS) ** bands <= MISS
+    for s, least in ((similarity, 0.99), (similarity + 0.05, 1.0)):
+        agree = rng.random((4000, REGISTERS)) < s
+        a = np.zeros((4000, REGISTERS), np.float32)
+        b = np.where(agree, a, np.float32(1))
+        share = (band_hashes(a, bands) == band_hashes(b, bands)).any(axis=1).mean()
+        assert share >= least
+
+
+def multiset_groups(texts, least=0.8, terms=20):
+    from collections import Counter
+
+    bags = {i: Counter(w.lower() for w in regex.findall(r"[\p{L}\p{M}\p{N}]+", t or "")) for i, t in texts}
+    bags = {i: b for i, b in bags.items() if len(b) >= terms}
+    group = {i: i for i in bags}
+
+    def top(i):
+        while group[i] != i:
+            i = group[i]
+        return i
+
+    for a, b in combinations(sorted(bags), 2):
+        if (bags[a] & bags[b]).total() >= least * (bags[a] | bags[b]).total():
+            x, y = sorted((top(a), top(b)))
+            group[y] = x
+    return {i: top(i) for i in bags}
+
+
+def test_near_groups_against_brute_force(spark):
+    """Chains of edits, a family around one text, texts that differ only in how often terms occur."""
+    rows, r = near_rows(), random.Random(4)
+    at = max(i for i, _ in rows) + 1
+    chain = words(90, 77)
+    for k in range(25):
+        chain = [w if r.random() > 0.05 else f"c{k}x{n}" for n, w in enumerate(chain)]
+        rows.append((at + k, " ".join(chain)))
+    base = words(70, 78)
+    rows += [(at + 100 + k, " ".join([*base[:66], *(f"f{k}x{n}" for n in range(4))])) for k in range(60)]
+    rows += [(at + 200, " ".join(base * 3)), (at + 201, " ".join(base * 3 + ["once"]))]
+    df = spark.createDataFrame(rows, "row_id long, text string").selectExpr("*", "1 as part", "'y' as id").repartition(4)
+    expected = multiset_groups(rows)
+    for exact in (False, True):
+        got = {x.row_id: (x.group_id, x.group_rows) for x in near_groups(df, exact=exact).collect()}
+        assert {i: g for i, (g, _) in got.items()} == expected
+        assert all(n == sum(g == h for h in expected.values()) for g, n in got.values())
+
+
+def test_components(spark):
+    r = random.Random(9)
+    links = [(k, k + 1) for k in range(0, 40)] + [(100, 100 + k) for k in range(1, 300)] + [(500, 499), (499, 498), (7, 7)]
+    links += [(r.randrange(1000, 1050), r.randrange(1000, 1050)) for _ in range(30)]
+    top = {x: x for e in links for x in e}
+    for _ in range(60):
+        for a, b in links:
+            top[a] = top[b] = min(top[a], top[b])
+    got = [(x.id, x.group) for x in components(spark.createDataFrame(links, "a long, b long")).collect()]
+    linked = {x for a, b in links if a != b for x in (a, b)}
+    assert sorted(got) == sorted((i, g) for i, g in top.items() if i in linked)
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
 @pytest.mark.parametrize("similarity", [0.5, 0.7, 0.9])
@@ -109,13 +178,11 @@ def test_prefix_pairs_leave_out_none(spark, similarity, batch):
     before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
     try:
-        table = signature_table(df, "row_id", "text", 20)
-        keys = {x.row_id: x.k1 for x in table.select("row_id", "k1").collect()}
-        got = [(x.a, x.b) for x in prefix_pairs(table, similarity).collect()]
+        docs = _texts(df, "row_id", "text")
+        got = [(x.a, x.b) for x in prefix_pairs(docs, docs.select(F.col("i").alias("id")), similarity, 20, False).collect()]
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
-    expected = {tuple(sorted((keys[a], keys[b]))) for a, b in similar(rows, similarity) if keys[a] != keys[b]}
-    assert expected <= set(got) and len(got) == len(set(got))
+    assert similar(rows, similarity) <= set(got) and len(got) == len(set(got))
 
 
 def test_near_duplicates_of_nothing(spark):
@@ -123,6 +190,7 @@ def test_near_duplicates_of_nothing(spark):
     for frame in (df, df.limit(0)):
         members, links = near_duplicates(frame)
         assert (members.count(), links.count()) == (0, 0)
+        assert near_groups(frame).count() == 0
 
 
 @pytest.mark.parametrize("least", [200, 60, 37])
