@@ -153,8 +153,9 @@ class _Bags:
                 terms[low] = terms.get(low, 0) + n if self.counted else 1
         if len(terms) < self.least:
             return None
-        for w in terms.keys() - known.keys():
-            known[w] = self.hash(w)
+        for w in terms:
+            if w not in known:
+                known[w] = self.hash(w)
         h = np.fromiter(map(known.__getitem__, terms), np.uint64, len(terms))
         order = np.argsort(h)
         return h[order], np.fromiter(terms.values(), np.int64, len(terms))[order]
