@@ -27,10 +27,17 @@ common AS (SELECT a.row_id AS row_id_a, b.row_id AS row_id_b, count(*) AS k FROM
 pairs AS (SELECT row_id_a, row_id_b FROM common JOIN sizes x ON x.row_id = row_id_a JOIN sizes y ON y.row_id = row_id_b WHERE k >= 0.7 * (x.n + y.n - k))"""
 
 
+# a title without invisible characters and odd spaces, wide and pointed forms taken apart, stray letters in the script of their word
+_PLAIN = r"""nfc_normalize(translate(array_to_string(list_transform(regexp_extract_all(regexp_replace(regexp_replace(replace(replace(replace(replace(title, 'װ', 'וו'), 'ױ', 'וי'), 'ײ', 'יי'), 'ﭏ', 'אל'), '\p{Cf}', '', 'g'), '\p{Zs}', ' ', 'g'), '(?s).'),
+            lambda c: CASE WHEN ord(c) BETWEEN 65281 AND 65374 THEN chr(ord(c) - 65248) ELSE c END), ''),
+            'ﬠﬡﬢﬣﬤﬥﬦﬧﬨаеорсхуіѕјАВЕКМНОРСТХІЅЈΑΒΕΖΗΙΚΜΝΟΡΤΥΧοιν', 'עאדהכלםרתaeopcxyisjABEKMHOPCTXISJABEZHIKMNOPTYXoiv'))"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "p2_found": r"""SELECT row_id, CASE WHEN list_max(list_transform(regexp_split_to_array(text, '[\s\p{Z}\x{85}\x{0B}\x{1C}-\x{1F}]+'), lambda s: length(s))) > 3000
             THEN 'forced' ELSE 'boundary' END AS cut FROM document_input WHERE length(text) > 3000""",
+        "p3_titles": f"SELECT row_id, b.title AS listed FROM (SELECT row_id, {_PLAIN} AS plain FROM document_input) JOIN book_list b ON plain = b.title",
         "p4_found": f"WITH {_TERMS} SELECT row_id, term FROM counts JOIN terms USING (term) WHERE tf >= 4 AND records <= 5",
         "p4_scores": f"""WITH {_TERMS}, lengths AS (SELECT row_id, sum(tf) AS n FROM counts GROUP BY row_id), whole AS (SELECT sum(pow(n, 0.75)) AS s FROM lengths)
             SELECT row_id, term, tf, records, round(greatest(0, ln(tf * s / (c * pow(n, 0.75)))), 6) AS ppmi

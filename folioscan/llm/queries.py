@@ -43,11 +43,15 @@ def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return lookalike.canonical_forms(_inputs(spark, d)).where("changed").select("row_id", "field").distinct()
+    return lookalike.canonical_forms(_inputs(spark, d), whole=False).where("changed").select("row_id", "field").distinct()
+
+
+def p3_groups(spark: SparkSession, d: str) -> DataFrame:
+    return lookalike.look_alike_groups(lookalike.canonical_forms(_inputs(spark, d), whole=False))
 
 
 def p3_titles(spark: SparkSession, d: str) -> DataFrame:
-    return lookalike.look_alike_groups(lookalike.canonical_forms(_inputs(spark, d), fields=("title",)))
+    return lookalike.matched_titles(_inputs(spark, d), table(spark, d, "book_list"))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
