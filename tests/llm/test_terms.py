@@ -43,6 +43,28 @@ def test_frequencies(df, monkeypatch, max_len, held):
     assert some == {g for g in count if len(records[g]) >= 3}
 
 
+@pytest.mark.parametrize("rows", [1, 3, 1000])
+def test_stack_over_batches(rows):
+    """Whatever the batches, a prefix that goes on from one to the next is told once."""
+    import numpy as np
+    import pyarrow as pa
+
+    r = random.Random(2)
+    suffixes = sorted({frequency.BETWEEN.join([*(r.choice("abc") for _ in range(k)), *[""] * (3 - k)]) for k in (1, 2, 3) for _ in range(40)}, reverse=True)
+    stack = frequency.PrefixStack(3, 1)
+    told = []
+    for a in range(0, len(suffixes), rows):
+        part = suffixes[a : a + rows]
+        told += stack.push(pa.array(part), np.zeros(len(part), np.int32), np.full(len(part), 2, np.int32), np.ones(len(part), np.int32)).to_pylist()
+    told += stack.end().to_pylist()
+    expected = Counter()
+    for s in suffixes:
+        w = s.rstrip(frequency.BETWEEN).split(frequency.BETWEEN)
+        expected.update(frequency.BETWEEN.join(w[: k + 1]) for k in range(len(w)))
+    assert {x["run"]: x["records"] for x in told} == expected and len(told) == len(expected)
+    assert all(x["occurrences"] == 2 * x["records"] for x in told)
+
+
 def test_marks(df, spark):
     got = {r.term: r.mark for r in marked_terms(df).collect()}
     records = Counter(w for _, t in ROWS for w in set(tokens(t)))
