@@ -28,7 +28,7 @@ ROUTES = 4
 #: Stands between the terms of a suffix, below all signs of a term: suffixes that share terms stay side by side in order.
 BETWEEN = "\x1f"
 #: Terms held by a map task before it passes their suffixes on.
-HELD = 1_000_000
+HELD = 300_000
 #: Suffixes unpacked at once.
 UNPACKED = 50_000
 
