@@ -6,6 +6,7 @@ import pytest
 import regex
 from pyspark.sql import functions as F
 
+from folioscan.llm import mixing
 from folioscan.llm.leakage import SuffixAutomaton, _walk, leaked_items, without_leaks
 from folioscan.llm.mixing import fit_counts, plan_mixture, select_mixture, term_tokens, tokenizer_lengths
 from folioscan.llm.subjects import fit_subjects, stems, subject_areas
@@ -135,6 +136,7 @@ def test_mixture(spark):
     assert not got["c"].reachable and not got["gone"].reachable and got["a"].reachable and got["none"].reachable and got["n"].reachable
     assert got["c"].mixed_tokens == 2 * have["c"]
     assert got["a"].mixed_tokens == got["a"].wanted_tokens == int(0.3 * total)
+    assert sum(x.reached_share for x in got.values()) == pytest.approx(1.0, abs=1e-5)
     chosen = select_mixture(lengths, takes).collect()
     mixed = Counter()
     for x in chosen:
@@ -148,6 +150,29 @@ def test_mixture(spark):
     assert select_mixture(lengths.limit(0), takes).collect() == []
 
 
+@pytest.mark.parametrize("parts", [1, 8, 1 << 16])
+def test_mixture_of_one_length(spark, monkeypatch, parts):
+    """A source whose documents all have one length: as many as planned, whatever the parts of the hash."""
+    monkeypatch.setattr(mixing, "HASH_PARTS", parts)
+    lengths = spark.range(5000).selectExpr("id as doc_id", "if(id < 4000, 'hot', 'other') as source", "if(id < 4000, 100L, id % 7) as n_tokens")
+    takes = spark.createDataFrame([("hot", 100, 1234, 0)], "source string, n_tokens long, take long, whole_repeats long")
+    got = select_mixture(lengths, takes).collect()
+    assert len(got) == 1234 and {(x.source, x.copies) for x in got} == {("hot", 1)}
+    twice = select_mixture(lengths, takes.withColumn("whole_repeats", F.lit(2).cast("long"))).collect()
+    assert Counter(x.copies for x in twice) == {3: 1234, 2: 2766}
+    assert {x.doc_id for x in twice if x.copies == 3} == {x.doc_id for x in got}
+
+
+def test_even_share_of_every_length():
+    """Whatever the budget's size, documents of all lengths are taken in proportion."""
+    lengths = {n: 400 for n in range(50, 150)}
+    total = sum(n * c for n, c in lengths.items())
+    for share in (0.02, 0.1, 0.5, 0.9):
+        got = fit_counts(lengths, int(total * share))
+        assert sum(n * c for n, c in got.items()) == int(total * share)
+        assert all(abs(got.get(n, 0) - 400 * share) <= 50 for n in lengths)
+
+
 @pytest.mark.skipif(not os.path.exists("/opt/tokenizers/byte_bpe_multi_50k.tiktoken"), reason="needs the vocabulary")
 def test_token_counts(spark):
     rows = [(1, "s", "hello world"), (2, "s", None), (3, "s", ""), (4, "s", "שלום " * 9000)]
