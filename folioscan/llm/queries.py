@@ -101,7 +101,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_cleaned(spark: SparkSession, d: str) -> DataFrame:
-    return leakage.without_leaks(_documents(spark, d), table(spark, d, "eval_item")).where("removed_words > 0")
+    return leakage.without_leaks(_documents(spark, d), table(spark, d, "eval_item"), min_coverage=0.8).where("removed_words > 0")
 
 
 def _regex_lengths(spark: SparkSession, d: str) -> DataFrame:

@@ -6,7 +6,7 @@ import pytest
 import regex
 from pyspark.sql import functions as F
 
-from folioscan.llm import mixing
+from folioscan.llm import leakage, mixing
 from folioscan.llm.leakage import SuffixAutomaton, _walk, leaked_items, without_leaks
 from folioscan.llm.mixing import fit_counts, plan_mixture, select_mixture, term_tokens, tokenizer_lengths
 from folioscan.llm.subjects import fit_subjects, stems, subject_areas
@@ -35,9 +35,10 @@ def test_automaton(seed):
     auto = (a.ids, a.next, a.link, a.length, a.cut_states(3), a.ends)
     for _ in range(10):
         words = [r.choice("abcd") for _ in range(r.randint(0, 30))]
-        longest, spans = _walk(words, auto, 3)
-        assert longest == brute(words, items, 3)
-        covered = {k for s, e in spans for k in range(s, e)}
+        runs = _walk(words, auto, 3)
+        assert {i: max(e - s for s, e, _ in found) for i, found in runs.items()} == brute(words, items, 3)
+        assert all(words[s:e] == items[i][at - (e - s) : at] for i, found in runs.items() for s, e, at in found)
+        covered = {k for found in runs.values() for s, e, _ in found for k in range(s, e)}
         expected = {k for s in range(len(words)) for e in range(s + 3, len(words) + 1) if brute(words[s:e], items, e - s) for k in range(s, e)}
         assert covered == expected
 
@@ -73,6 +74,26 @@ def test_leaks(spark, items):
     assert leaked_items(docs, items.limit(0)).collect() == []
 
 
+def test_leaks_by_coverage(spark):
+    """Short items, and items in pieces, count by coverage; items in several passes give the same."""
+    whole = [f"p{n}" for n in range(30)]
+    items = spark.createDataFrame([(1, "q0 q1 q2 q3 q4 q5 q6"), (2, " ".join(whole)), (3, "one two"), (4, "r0 r1 r2 r3 r4 r5 r6 r7 r8")], "item_id long, text string")
+    pieces = " - x ".join(" ".join(whole[k : k + 8]) for k in range(0, 30, 8))
+    rows = [(1, "see Q0 q1 q2 q3 q4 q5 q6!"), (2, pieces), (3, "one two"), (4, "r0 r1 r2 r3 r4 x"), (5, " ".join(whole[:11])), (6, " ".join(whole[:12]) + " more words to keep here and there and so on")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    strict = {(r.doc_id, r.item_id): r.words for r in leaked_items(docs, items).collect()}
+    assert strict == {(6, 2): 12}
+    for most in (400_000, 10):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(leakage, "MAX_ITEM_WORDS", most)
+            got = {(r.doc_id, r.item_id): (r.words, r.coverage) for r in leaked_items(docs, items, min_coverage=0.8).collect()}
+            assert got == {(1, 1): (7, 1.0), (2, 2): (8, 1.0), (6, 2): (12, 0.4)}
+            clean = {r.doc_id: r for r in without_leaks(docs, items, min_coverage=0.8, max_coverage=0.95).collect()}
+            assert clean[1].text == "see !" and clean[1].removed_words == 7
+            assert clean[2].text.split() == ["-", "x"] * 3 and clean[6].text.strip().startswith("more words")
+            assert [clean[k].removed_words for k in (3, 4, 5)] == [0, 0, 0]
+
+
 def test_stems():
     assert stems("והמחזור") >= {"והמחזור", "המחזור", "מחזור"}
     assert "עדות" in stems("עדותא")
