@@ -165,9 +165,9 @@ def _extent(a: str, at_a: int, b: str, at_b: int, size: int) -> tuple[int, int]:
 
 
 def _shared_paths(df: DataFrame, row_id: str, text: str, min_chars: int) -> tuple[DataFrame, ...]:
-    """Texts long enough, their classes, the paths that classes share, and the texts of the classes on them."""
+    """Texts long enough, the members of their classes, the paths that classes share, and the texts of the classes on them."""
     docs = pick(df, row_id=row_id, t=text).where(F.char_length("t") >= min_chars).withColumn("cls", F.xxhash64("t"))
-    members = docs.select("row_id", "cls").distinct()
+    members = docs.select("row_id", "cls", F.xxhash64(F.lit(1), "t").alias("again")).distinct()
     edges = materialise(text_edges(docs, min_chars))
     paths = materialise(compacted_paths(edges))
     # texts of the classes on paths only: the broadcast has SLOTS rows at most and may let others through
@@ -179,43 +179,55 @@ def _shared_paths(df: DataFrame, row_id: str, text: str, min_chars: int) -> tupl
 def shared_spans(df: DataFrame, row_id: str = "row_id", text: str = "text", min_chars: int = MIN_CHARS) -> tuple[DataFrame, DataFrame]:
     """Classes of equal texts, and the long common runs between classes.
 
-    Returns ``(members, spans)``: ``members`` is ``(row_id, cls)`` for each text of at least ``min_chars`` characters,
-    ``cls`` a 64-bit hash of the text; ``spans`` is ``(cls_a, cls_b, lo_a, hi_a, lo_b, hi_b)`` with ``cls_a < cls_b``, runs of
-    at least ``min_chars`` equal characters, checked on the texts. A run is told for every shared path in it, up to ``min_chars``
-    characters beyond the path on either side. Null and short texts take no part; further columns are ignored; empty
-    tables give no rows.
+    Returns ``(members, spans)``: ``members`` is ``(row_id, cls, again)`` for each text of at least ``min_chars`` characters,
+    two 64-bit hashes of the text that name its class; ``spans`` is ``(cls_a, cls_b, lo_a, hi_a, lo_b, hi_b)`` with ``cls_a < cls_b``, runs of
+    at least ``min_chars`` equal characters, checked on the texts. A run is told for every shared path in it, with as much
+    beside the path as makes ``min_chars``. Occurrences of a path with the same surroundings are one variant: only one of each is
+    compared, and only variants that differ are compared with each other. Null and short texts take no part;
+    further columns are ignored; empty tables give no rows.
     """
     docs, members, paths, some = _shared_paths(df, row_id, text, min_chars)
-    from_ = F.greatest(F.lit(0), F.col("lo") - min_chars)
-    around = paths.join(some, "cls").select(
-        "path", "cls", "lo", "hi", from_.alias("start"), F.substring("t", from_ + 1, F.col("hi") + min_chars - from_).alias("t")
-    )
-    around = materialise(around)
-    left, right = (around.select("path", *(F.col(c).alias(f"{c}_{x}") for c in ("cls", "lo", "hi", "start", "t"))) for x in ("a", "b"))
-    pairs = left.join(right, "path").where("cls_a < cls_b")
-    names = ["cls_a", "cls_b", "lo_a", "hi_a", "lo_b", "hi_b"]
+    beside = F.greatest(F.lit(0), F.lit(min_chars) - (F.col("hi") - F.col("lo")))
+    start = F.greatest(F.lit(0), F.col("lo") - beside)
+    around = paths.join(some, "cls").select("path", "cls", "lo", start.alias("start"), (F.col("hi") - F.col("lo")).alias("size"), F.substring("t", start + 1, F.col("hi") + beside - start).alias("t"))
+    keys = ["path", "size", "before", "k1", "k2"]
+    placed = materialise(around.withColumn("before", F.col("lo") - F.col("start")).withColumn("k1", F.xxhash64("t")).withColumn("k2", F.xxhash64(F.lit(1), "t")))
+    variants = materialise(placed.groupBy(*keys).agg(F.min("cls").alias("v"), F.first("t").alias("t")))
+    left, right = (variants.select("path", *(F.col(c).alias(f"{c}_{x}") for c in ("v", "size", "before", "k1", "k2", "t"))) for x in ("a", "b"))
+    order = lambda x: F.struct(*(f"{c}_{x}" for c in ("k1", "k2", "before", "size")))
+    pairs = left.join(right, "path").where(order("a") <= order("b"))
+    told = [f"{c}_{x}" for x in ("a", "b") for c in ("size", "before", "k1", "k2")]
+    names = ["path", *told, "back", "length"]
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list[int]] = [[] for _ in names]
-            for ca, la, ha, sa, ta, cb, lb, hb, sb, tb in zip(*(c.to_pylist() for c in batch.columns)):
-                size = min(ha - la, hb - lb)
-                before, after = _extent(ta, la - sa, tb, lb - sb, size)
+            for path, sa, ba, ka, qa, sb, bb, kb, qb, ta, tb in zip(*(c.to_pylist() for c in batch.columns)):
+                size = min(sa, sb)
+                before, after = _extent(ta, ba, tb, bb, size)
                 if before >= 0 and before + size + after >= min_chars:
-                    for col, v in zip(out, (ca, cb, la - before, la + size + after, lb - before, lb + size + after)):
+                    for col, v in zip(out, (path, sa, ba, ka, qa, sb, bb, kb, qb, before, before + size + after)):
                         col.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names)
 
-    sides = [f"{c}_{x}" for x in ("a", "b") for c in ("cls", "lo", "hi", "start", "t")]
-    spans = arrow_stage(pairs.select(*sides), verify, ", ".join(f"{n} long" for n in names))
+    alike = materialise(arrow_stage(pairs.select("path", *told, "t_a", "t_b"), verify, ", ".join(f"{n} long" for n in names)))
+    sides = {x: placed.select("path", *(F.col(c).alias(f"{c}_{x}") for c in ("cls", "lo", "size", "before", "k1", "k2"))) for x in ("a", "b")}
+    both = alike
+    for x in ("a", "b"):
+        both = both.join(sides[x], ["path", *(f"{c}_{x}" for c in ("size", "before", "k1", "k2"))])
+    from_, to = (lambda x: F.col(f"lo_{x}") - F.col("back")), (lambda x: F.col(f"lo_{x}") - F.col("back") + F.col("length"))
+    ordered = F.col("cls_a") < F.col("cls_b")
+    span = lambda x, y: F.struct(F.col(f"cls_{x}").alias("cls_a"), F.col(f"cls_{y}").alias("cls_b"), from_(x).alias("lo_a"), to(x).alias("hi_a"), from_(y).alias("lo_b"), to(y).alias("hi_b"))
+    spans = both.where("cls_a != cls_b").select(F.when(ordered, span("a", "b")).otherwise(span("b", "a")).alias("s")).select("s.*")
     return members, spans
 
 
 def shared_pairs(members: DataFrame, spans: DataFrame) -> DataFrame:
     """``(row_id_a, row_id_b)`` for all pairs of records, copies spelled out: only where a result in this form is asked for."""
     links = spans.select("cls_a", "cls_b").distinct()
-    across = links.join(members.toDF("x", "cls_a"), "cls_a").join(members.toDF("y", "cls_b"), "cls_b").select("x", "y")
-    within = members.toDF("x", "cls").join(members.toDF("y", "cls"), "cls").where("x < y").select("x", "y")
+    rows = members.select("row_id", "cls")
+    across = links.join(rows.toDF("x", "cls_a"), "cls_a").join(rows.toDF("y", "cls_b"), "cls_b").select("x", "y")
+    within = members.toDF("x", "cls", "again").join(members.toDF("y", "cls", "again"), ["cls", "again"]).where("x < y").select("x", "y")
     return across.unionByName(within).where("x != y").select(F.least("x", "y").alias("row_id_a"), F.greatest("x", "y").alias("row_id_b")).distinct()
 
 
@@ -257,12 +269,12 @@ def shared_shares(df: DataFrame, members: DataFrame, stretches: DataFrame, row_i
     count as shared. Empty texts have the share 0.
     """
     covered = stretches.groupBy("cls").agg(F.sum(F.col("hi") - F.col("lo")).alias("covered"))
-    sizes = members.groupBy("cls").agg((F.count("*") - 1).alias("copies"))
-    rows = pick(df, row_id=row_id, reference=reference, t=text).where("t is not null").select("row_id", "reference", F.xxhash64("t").alias("cls"), F.char_length("t").cast("long").alias("chars"))
+    sizes = members.groupBy("cls", "again").agg((F.count("*") - 1).alias("copies"))
+    rows = pick(df, row_id=row_id, reference=reference, t=text).where("t is not null").select("row_id", "reference", F.xxhash64("t").alias("cls"), F.xxhash64(F.lit(1), "t").alias("again"), F.char_length("t").cast("long").alias("chars"))
     copies = F.coalesce("copies", F.lit(0))
     shared = F.when(copies > 0, F.col("chars")).otherwise(F.coalesce("covered", F.lit(0)))
     return (
-        rows.join(sizes, "cls", "left")
+        rows.join(sizes, ["cls", "again"], "left")
         .join(covered, "cls", "left")
         .select("row_id", "reference", "chars", shared.alias("shared_chars"), F.round(F.coalesce(shared / F.nullif(F.col("chars"), F.lit(0)), F.lit(0.0)), 6).alias("share"), copies.alias("copies"))
     )
