@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from folioscan.llm.scans import CONFUSIONS, Page, _distance, candidates, page_marks, repaired_pages
+from folioscan.llm.scans import CONFUSIONS, PAIRS, Page, _distance, _pointed, bare, candidates, page_marks, repaired_pages, signs_undone
 
 LETTERS = "abcdefghilmnoprstuvw"
 
@@ -16,8 +16,13 @@ def test_candidates_undo_confusions():
     for true, seen in CONFUSIONS.items():
         for s in seen.split():
             assert f"x{true}y" in candidates(f"x{s}y")
-    assert "שולום" in candidates("ש|ל1ם")
+    assert {"שולום", "the"} <= candidates("ש|ל1ם").keys() | candidates("tbc").keys()
+    assert "the" not in candidates("tbc", two=False)
     assert "abc" not in candidates("abc")
+    assert signs_undone("l1l1l1l1l1", "lililililи") is None
+    assert [PAIRS[c] for c in signs_undone("l1l1", "lili")] == [("i", "1")] * 2
+    assert bare("שָׁלוֹם") == "שלום" and bare("café") == "café"
+    assert _pointed("שלוח", "שָׁלוֹם") == "שָׁלוֹח"
 
 
 def test_distance():
@@ -109,6 +114,18 @@ def test_held_out_accuracy(spark, pages):
     assert sum(a != b for a, b in words) < before / 8
 
 
+def test_words_that_need_more(spark):
+    """Two confusions, many signs in a word, points, a hyphen of the word's own, and the neighbours deciding between words."""
+    known = "illicit willing shalom brother lantern keeper gallery well-known silver winter garden lamp".split()
+    clean = [(n, " ".join([*known * 3, "open the lamp", "hot the damp", "ספר שלום ספר רחוק"]), False) for n in range(60)]
+    rows = [(100, "a brotber lantcrn kccper here\n1ll1c1t w1ll1ng", True), (101, "silver well-\nknown and gar-\nden", True), (102, "סֵפֶר שָׁלוֹס כאן", True)]
+    df = spark.createDataFrame([(i, t, p, None, None) for i, t, p in clean + rows], "row_id long, text string, is_pdf boolean, title string, file_path string")
+    got = {r.row_id: (r.text, {(m.line_no, m.kind) for m in r.marks}) for r in repaired_pages(df).collect()}
+    assert got[100] == ("a brother lantern keeper here illicit willing", {(0, "misread"), (1, "misread")})
+    assert got[101] == ("silver well-known and garden", {(0, "hyphen"), (1, "hyphen")})
+    assert got[102] == ("סֵפֶר שָׁלוֹם כאן", {(0, "misread")})
+
+
 def test_without_clean_texts(spark):
     df = spark.createDataFrame([(1, "a b-\ncde", True, None, None)], "row_id long, text string, is_pdf boolean, title string, file_path string")
     assert [(r.line_no, r.kind) for r in page_marks(repaired_pages(df)).collect()] == [(0, "hyphen")]
