@@ -150,8 +150,8 @@ class Searcher:
 class SearchEngine(Searcher):
     """An index at ``path``: searches see what was last committed, writes wait until ``commit``."""
 
-    def __init__(self, spark: SparkSession, path: str):
-        self._store = Store(spark, path)
+    def __init__(self, spark: SparkSession, path: str, **options):
+        self._store = Store(spark, path, **options)
 
     @property
     def index(self) -> Index:
@@ -166,9 +166,9 @@ class SearchEngine(Searcher):
     def upsert_document(self, doc: DocumentInput) -> None:
         self._store.upsert([doc])
 
-    def upsert_documents_batch(self, docs: Sequence[DocumentInput] | DataFrame) -> None:
-        """Records replace all that have their id; the last of a batch with the same id holds."""
-        self._store.upsert(docs)
+    def upsert_documents_batch(self, docs: Sequence[DocumentInput] | DataFrame, order: Sequence[str] = ()) -> None:
+        """Records replace all that have their id; the last of a batch with the same id holds, a frame's in the order of the columns ``order``."""
+        self._store.upsert(docs, order)
 
     def delete_document_by_id(self, id: int) -> None:
         self._store.delete(id=[id])

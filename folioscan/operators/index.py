@@ -32,7 +32,7 @@ class Index:
         """The same index with its tables written by ``write``, the postings in order of terms."""
         docs = write(self.docs)
         postings = write(ordered(build_index(docs).postings))
-        return Index(docs, postings, write(vocabulary_of(postings)), write(lengths_of(docs, postings)))
+        return Index(docs, postings, write(in_order(vocabulary_of(postings))), write(lengths_of(docs, postings)))
 
 
 def ordered(postings: DataFrame) -> DataFrame:
@@ -45,6 +45,11 @@ def vocabulary_of(postings: DataFrame) -> DataFrame:
     return postings.groupBy("term").agg(F.count("*").alias("df"))
 
 
+def in_order(vocabulary: DataFrame) -> DataFrame:
+    """A vocabulary whose files and row groups hold ranges of terms."""
+    return vocabulary.repartitionByRange("term").sortWithinPartitions("term")
+
+
 def lengths_of(docs: DataFrame, postings: DataFrame) -> DataFrame:
     """``(row_id, dl)`` for every record, 0 without tokens; counted from the positions, so no text is read again."""
     counted = postings.groupBy("row_id").agg(F.sum(F.size("positions")).alias("dl"))

@@ -89,6 +89,14 @@ def highlight_weights(index: Index, matches: Matches) -> dict[str, float]:
     return {r.term: 1 / (1 + r.df) for r in index.vocabulary.where(F.col("term").isin(list(chosen))).collect()}
 
 
+def _weights(index: Index, matches: Matches) -> dict[str, float]:
+    """``highlight_weights``, or none where they can't be told: a page without marks is better than none."""
+    try:
+        return highlight_weights(index, matches)
+    except Exception:  # noqa: BLE001  marks are an extra; whatever is wrong with the records themselves shows when they are read
+        return {}
+
+
 def page(
     index: Index,
     matches: Matches,
@@ -106,7 +114,7 @@ def page(
     top = ranked(index, matches, order, limit, offset)
     by = [F.desc("score"), F.asc("row_id")] if order is ResultsOrder.RELEVANCE else [F.asc("id"), F.asc("row_id")]
     fetched = index.docs.drop("id").join(top, "row_id").fillna(DEFAULTS)
-    weights = highlight_weights(index, matches) if marked and not matches.empty else {}
+    weights = _weights(index, matches) if marked and not matches.empty else {}
     if weights:
 
         @F.pandas_udf("string")

@@ -11,9 +11,9 @@ def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
 
 
 def spread(scan: DataFrame, key: str) -> DataFrame:
-    """A scan of fewer partitions than the session has cores, such as a single row group, spread over all by ``key``.
+    """A scan, or if ``spark.folioscan.scan.partitions`` is set its rows spread over so many partitions by ``key``.
 
-    Larger scans stay as they are: they are never shuffled for this.
+    Files of one row group can't be split by the scan itself; whoever knows theirs to be such asks for it.
     """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores, key) if scan.rdd.getNumPartitions() < cores else scan
+    parts = scan.sparkSession.conf.get("spark.folioscan.scan.partitions", None)
+    return scan.repartition(int(parts), key) if parts else scan

@@ -1,3 +1,7 @@
+import json
+import threading
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -6,6 +10,8 @@ from folioscan.functions.morph import GRAM_PREFIX
 from folioscan.functions.topics import TopicError
 from folioscan.operators.match import whole_term
 from folioscan.schema import DocumentInput, ExpansionError, HighlightConfig, ResultsOrder
+from folioscan.sources import store
+from folioscan.sources.files import HadoopFiles
 from folioscan.sources.store import WriterLocked
 
 
@@ -124,6 +130,99 @@ def test_lock(engine, spark):
     other.close()
 
 
+def test_lock_of_a_writer_that_is_gone(engine, spark):
+    """A lock without a sign of life is taken over, and the writer before learns of it."""
+    filled(engine, doc(1, "שלום"))
+    engine._store._stop()  # as if the process had died
+    engine._store._beat = threading.Event()
+    other = SearchEngine(spark, engine._store.path)
+    with pytest.raises(WriterLocked):
+        other.add_document(doc(2, "שלום"))
+    held = engine._store._holder()
+    engine._store._files.replace("writer.lock", json.dumps(held | {"until": 1}))
+    other.add_document(doc(2, "שלום"))
+    other.commit()
+    with pytest.raises(WriterLocked):
+        engine.add_document(doc(3, "שלום"))
+    assert engine.count_exact("שלום") == 2
+    other.close()
+    engine._store._files.create("writer.lock", "")  # left by something else, without an owner
+    other.add_document(doc(4, "שלום"))
+    other.close()
+
+
+def test_lock_lives_on(spark, tmp_path):
+    e = SearchEngine(spark, str(tmp_path / "index"), lock_seconds=0.6)
+    e.add_document(doc(1, "שלום"))
+    time.sleep(1.5)
+    with pytest.raises(WriterLocked):
+        SearchEngine(spark, str(tmp_path / "index")).add_document(doc(2, "שלום"))
+    e.close()
+
+
+def test_files_of_hadoop(spark, tmp_path):
+    files = HadoopFiles(spark, f"file://{tmp_path}/x")
+    assert not files.exists() and not files.is_folder()
+    files.make()
+    assert files.is_folder() and files.create("a", "שלום") and not files.create("a", "2")
+    files.replace("a", "new")
+    assert files.read("a") == "new" and files.exists("a")
+    files.delete("a")
+    with pytest.raises(FileNotFoundError):
+        files.read("a")
+
+
+def test_index_by_hadoop_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(store, "files_at", lambda path, spark=None: HadoopFiles(spark, path))
+    e = SearchEngine(spark, f"file://{tmp_path}/index")
+    filled(e, *BOOKS)
+    e.upsert_document(doc(1, "שלום חדש"))
+    e.commit()
+    assert books(SearchEngine(spark, f"file://{tmp_path}/index").count_by_book_exact("שלום")) == {"a": 2, "b": 1}
+    e.close()
+
+
+def test_vocabulary_follows_deletions(engine):
+    """The vocabulary told after adds, upserts and deletions is that of the live records, before and after merging."""
+    terms = lambda: {r.term: r.df for r in engine.index.vocabulary.collect()}
+    filled(engine, doc(1, "a b a"), doc(2, "a c"), doc(2, "a d"))
+    filled(engine, doc(3, "b c", title="gone"))
+    engine.upsert_document(doc(1, "e"))
+    engine.remove_documents_by_title("gone")
+    engine.commit()
+    assert terms() == {"a": 2, "c": 1, "d": 1, "e": 1}
+    engine.delete_document_by_id(2)
+    engine.delete_document_by_id(77)
+    engine.commit()
+    assert terms() == {"e": 1}
+    engine.optimize()
+    assert terms() == {"e": 1}
+    engine.clear()
+    engine.commit()
+    assert terms() == {} and engine.get_segment_count() == 0
+
+
+def test_a_commit_reads_no_postings_of_before(engine, spark, monkeypatch):
+    """Tables of earlier segments that a later commit opens: their records' keys, if something is deleted, and nothing else."""
+    for n in range(3):
+        filled(engine, doc(n, f"שלום {n}"))
+    read, opened = engine._store._read, []
+    monkeypatch.setattr(engine._store, "_read", lambda names, part, schema: (opened.append((len(names), part)), read(names, part, schema))[1])
+    filled(engine, doc(9, "שלום"))
+    assert max(n for n, _ in opened) == 1
+    opened.clear()
+    engine.delete_document_by_id(1)
+    engine.commit()
+    assert {part for n, part in opened if n > 1} == {"docs"}
+
+
+def test_upsert_in_order(engine, spark):
+    rows = spark.createDataFrame([(*doc(i % 10, f"v{i}").values(), i) for i in range(200)], "id long, title string, reference string, topics string, text string, segment long, is_pdf boolean, file_path string, at long")
+    engine.upsert_documents_batch(rows.repartition(7), order=["at"])
+    engine.commit()
+    assert sorted(r.text for r in engine.index.docs.collect()) == sorted(f"v{i}" for i in range(190, 200))
+
+
 def test_optimize(engine):
     for n in range(3):
         filled(engine, doc(n, f"שלום {n}"))
