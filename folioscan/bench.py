@@ -18,6 +18,14 @@ REPEATS = ("+", "*")
 FAST_MS, SLOW_MS = 50, 200
 FEW_EXPANSIONS = 100
 ALL_TERMS = 1000
+HEBREW_SLOW_MS = 100
+# Words in a case's name that put it into a group of texts, in order of precedence.
+GROUPS = {"talmudic": ("Talmudic", "Rabbi"), "biblical": ("Biblical", "Verse"), "halachic": ("Halachic", "Responsa")}
+# The patterns of a diagnostic run, by name.
+DIAGNOSTIC = {
+    "Hebrew letter aleph": "א", "Hebrew letter bet": "ב", "Hebrew letter gimel": "ג", "Word: and": "ו", "Word: the": "ה", "Word: in": "ב",
+    "Any Hebrew letter": "[א-ת]", "Two Hebrew letters": "[א-ת][א-ת]", "Simple wildcard": ".*",
+}
 RESULT = "query_name string, regex_terms array<string>, slop int, max_expansions int, execution_time_ms long, result_count int, memory_usage_mb double"
 
 
@@ -109,11 +117,11 @@ class RegexBenchmarker:
                 rows.append((c.query_name, None, None, str(e)))
         return self.spark.createDataFrame(rows, "query_name string, execution_time_ms long, result_count int, error string")
 
-    def run_diagnostic(self, cases: Sequence[TestCase]) -> DataFrame:
-        """How many of up to 10 results each case finds with 100 expansions, and how many records hold any term if that takes no
+    def run_diagnostic(self, cases: Sequence[TestCase] | None = None) -> DataFrame:
+        """How many of up to 10 results each case (those of ``DIAGNOSTIC`` if none are given) finds with 100 expansions, and how many records hold any term if that takes no
         more than ``ALL_TERMS`` expansions; an error is told in its row."""
         rows = []
-        for c in cases:
+        for c in [TestCase(n, [p], [], 0, 100) for n, p in DIAGNOSTIC.items()] if cases is None else cases:
             try:
                 rows.append((c.query_name, self._once(TestCase(c.query_name, c.regex_terms, c.facets, c.slop, 100), 10), None))
             except ValueError as e:
@@ -193,6 +201,38 @@ def by_complexity(results: DataFrame) -> DataFrame:
     return timed(results).groupBy(complexity(F.col("regex_terms")).alias("complexity")).agg(F.count("*").alias("runs"), F.round(F.avg("execution_time_ms"), 6).alias("mean_ms"), slow.alias("over_100_ms"))
 
 
+def impacts(results: DataFrame) -> DataFrame:
+    """``(kind, times)``: how many times as long runs with slop, with many expansions and of several patterns take on average."""
+    pairs = {"terms": ("multi", "single"), "slop": ("with", "without"), "expansion": ("high", "low")}
+    mean = lambda part: F.max(F.when(F.col("part") == part, F.col("mean_ms")))
+    times = F.coalesce(*[F.when(F.col("kind") == k, mean(a) / F.nullif(mean(b), F.lit(0.0))) for k, (a, b) in pairs.items()])
+    return patterns(results).groupBy("kind").agg(F.round(times, 4).alias("times"))
+
+
+def slow_runs(results: DataFrame) -> DataFrame:
+    """Runs over ``SLOW_MS`` with the kinds of signs in their patterns."""
+    return timed(results).where(F.col("execution_time_ms") > SLOW_MS).select("query_name", complexity(F.col("regex_terms")).alias("complexity"), "execution_time_ms")
+
+
+def text_group(name: Column) -> Column:
+    """The group of texts that a case's name tells, ``other`` without any of the words."""
+    out = F.lit("other")
+    for group, words in reversed(GROUPS.items()):
+        out = F.when(name.contains(words[0]) | name.contains(words[1]), group).otherwise(out)
+    return out
+
+
+def by_group(results: DataFrame) -> DataFrame:
+    """Mean time by group of texts."""
+    return timed(results).groupBy(text_group(F.col("query_name")).alias("group")).agg(F.count("*").alias("runs"), F.round(F.avg("execution_time_ms"), 6).alias("mean_ms"))
+
+
+def hebrew_slow(results: DataFrame) -> DataFrame:
+    """Patterns with a class of Hebrew letters in runs over ``HEBREW_SLOW_MS``, and whether they also have a wildcard."""
+    slow = timed(results).where(F.col("execution_time_ms") > HEBREW_SLOW_MS).select("query_name", "execution_time_ms", F.explode("regex_terms").alias("pattern"))
+    return slow.where(F.col("pattern").contains("[א-ת]")).withColumn("wildcard", F.col("pattern").contains(".*"))
+
+
 def by_keyword(results: DataFrame) -> DataFrame:
     """Mean time by the last part of the query's name."""
     return timed(results).groupBy(F.regexp_extract("query_name", "([^_]+)$", 1).alias("keyword")).agg(F.count("*").alias("runs"), F.round(F.avg("execution_time_ms"), 6).alias("mean_ms"))

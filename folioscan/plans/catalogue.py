@@ -16,7 +16,6 @@ from folioscan.operators.index import Index, build_index
 from folioscan.plans.oracle import oracle_sql as oracle_sql
 from folioscan.plans.shared import materialise
 from folioscan.schema import DEFAULTS, STORED, ResultsOrder
-from folioscan.sources.store import check_index_compatibility
 from folioscan.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -421,13 +420,6 @@ def uncommitted_by_file(spark: SparkSession, d: str) -> DataFrame:
 # compatibility and timings --------------------------------------------------------------------------------------
 
 
-@on_tables
-def index_compatibility(spark: SparkSession, d: str) -> DataFrame:
-    state = check_index_compatibility(d)
-    schema = "compatible boolean, status string, found_schema_version int, required_schema_version int, engine_version string, metadata_path string, reason string"
-    return spark.createDataFrame([tuple(vars(state).values())], schema)
-
-
 @on_tables
 def checks_by_status(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "index_check")
@@ -469,6 +461,33 @@ def bench_by_keyword(spark: SparkSession, d: str) -> DataFrame:
     return bench.by_keyword(_timings(spark, d))
 
 
+@on_tables
+def bench_slow_runs(spark: SparkSession, d: str) -> DataFrame:
+    return bench.slow_runs(_timings(spark, d))
+
+
+@on_tables
+def bench_by_group(spark: SparkSession, d: str) -> DataFrame:
+    return bench.by_group(_timings(spark, d))
+
+
+@on_tables
+def bench_hebrew_slow(spark: SparkSession, d: str) -> DataFrame:
+    return bench.hebrew_slow(_timings(spark, d))
+
+
+@on_tables
+def bench_impacts(spark: SparkSession, d: str) -> DataFrame:
+    return bench.impacts(_timings(spark, d))
+
+
+@on_tables
+def bench_diagnostic(spark: SparkSession, d: str) -> DataFrame:
+    """The built-in diagnostic cases; a case that stands for too many terms has no count."""
+    told = bench.RegexBenchmarker(spark, Searcher(open_index(spark, d))).run_diagnostic()
+    return told.select("query_name", F.col("result_count").cast("long").alias("result_count"), F.col("error").isNotNull().alias("failed"))
+
+
 @on_tables
 def bench_memory(spark: SparkSession, d: str) -> DataFrame:
     memory = bench.estimated_memory_column(F.col("regex_terms"), F.col("max_expansions"))

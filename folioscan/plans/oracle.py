@@ -94,8 +94,11 @@ def _bm25(words: list[str], limit: int = 20) -> str:
 
 
 _TIMINGS = "benchmark_result JOIN benchmark_case c USING (query_name)"
+# Particles before a word and endings after it, in the forms with and without the rarer ones; misspellings of one word.
 _RICH = "(?:ו|מ|דא|א|כש|כ|ב|ש|ל|ה|ד)?(?:כ|ב|ש|ל|ה|ד)?(?:ה)?"
 _ENDINGS = "(?:ותי|ותיך|ותיו|ותיה|ותינו|ותיכם|ותיכן|ותיהם|ותיהן|יי|יך|יו|יה|ינו|יכם|יכן|יהם|יהן|י|ך|ו|ה|נו|כם|כן|ם|ן|ים|ות)?"
+_LEAN = "(?:ו|מ|כ|ב|ש|ל|ה|ד)?(?:כ|ב|ש|ל|ה|ד)?(?:ה)?"
+_ALL_ENDINGS = "(?:ותי|ותיך|ותיו|ותיה|ותינו|ותיכם|ותיכן|ותיהם|ותיהן|יות|יי|יך|יו|יה|יא|תא|ינו|יכם|יכן|יהם|יהן|י|ך|ו|ה|נו|כם|כן|ם|ן|ים|ות)?"
 _TYPOS = (
     "כתב קתב כטב כתו תכב כבת תב כב כת וכתב יכתב אכתב הכתב פכתב לכתב מכתב נכתב בכתב ככתב שכתב תכתב רכתב "
     "כתבו כתבי כתבא כתבה כתבפ כתבל כתבמ כתבנ כתבב כתבכ כתבש כתבת כתבר כותב כיתב כאתב כהתב כפתב כלתב כמתב כנתב כבתב כשתב כתתב"
@@ -147,9 +150,7 @@ def oracle_sql() -> dict[str, str]:
         "advanced_partial": _page(_phrase(_like(".{0,2}מולד.{0,2}")), 40),
         "advanced_grammatical_prefix": _count(_phrase(_like(f"{_RICH}ספר"))),
         "advanced_grammatical_suffix": _count(_phrase(_like(f"חוד{_ENDINGS}"))),
-        "advanced_full_morphology": _count(
-            _phrase(_like(f"{_RICH.replace('דא|א|כש|', '')}דין{_ENDINGS.replace('|ינו|', '|יא|תא|ינו|').replace('|יי|', '|יות|יי|')}"))
-        ),
+        "advanced_full_morphology": _count(_phrase(_like(f"{_LEAN}דין{_ALL_ENDINGS}"))),
         "advanced_spelling": _count(_phrase(_like("(?:סדר|סידר|סדור|סידור)"))),
         "advanced_typo": _count(_phrase(f"term IN ({', '.join(repr(w) for w in _TYPOS.split())})")),
         "advanced_alternatives": _count(_phrase(_like("(?:court|tribunal|judge)"))),
@@ -194,6 +195,25 @@ def oracle_sql() -> dict[str, str]:
               CAST(sum(CASE WHEN execution_time_ms > 100 THEN 1 ELSE 0 END) AS BIGINT) AS over_100_ms FROM named GROUP BY 1""",
         "bench_by_keyword": f"""SELECT regexp_extract(query_name, '([^_]+)$', 1) AS keyword, count(*) AS runs, round(avg(execution_time_ms), 6) AS mean_ms
             FROM {_TIMINGS} WHERE execution_time_ms >= 0 GROUP BY 1""",
+        "bench_slow_runs": f"""WITH tagged AS (SELECT query_name, execution_time_ms, array_to_string(regex_terms, ' ') AS j FROM {_TIMINGS} WHERE execution_time_ms > 200),
+            named AS (SELECT query_name, execution_time_ms, concat_ws(',', CASE WHEN contains(j, '.*') THEN 'wildcard' END, CASE WHEN contains(j, '[א-ת]') THEN 'hebrew class' END,
+              CASE WHEN contains(j, '|') THEN 'alternation' END, CASE WHEN contains(j, '+') OR contains(j, '?') THEN 'quantifier' END, CASE WHEN contains(j, chr(123)) THEN 'repetition' END) AS tags FROM tagged)
+            SELECT query_name, CASE WHEN tags = '' THEN 'simple' ELSE tags END AS complexity, execution_time_ms FROM named""",
+        "bench_by_group": f"""SELECT CASE WHEN regexp_matches(query_name, 'Talmudic|Rabbi') THEN 'talmudic' WHEN regexp_matches(query_name, 'Biblical|Verse') THEN 'biblical'
+            WHEN regexp_matches(query_name, 'Halachic|Responsa') THEN 'halachic' ELSE 'other' END AS "group", count(*) AS runs, round(avg(execution_time_ms), 6) AS mean_ms
+            FROM {_TIMINGS} WHERE execution_time_ms >= 0 GROUP BY 1""",
+        "bench_hebrew_slow": f"""SELECT query_name, execution_time_ms, pattern, contains(pattern, '.*') AS wildcard
+            FROM (SELECT query_name, execution_time_ms, unnest(regex_terms) AS pattern FROM {_TIMINGS} WHERE execution_time_ms > 100) WHERE contains(pattern, '[א-ת]')""",
+        "bench_impacts": " UNION ALL ".join(
+            f"SELECT '{kind}' AS kind, round(avg(CASE WHEN {slow} THEN execution_time_ms END) / avg(CASE WHEN NOT ({slow}) THEN execution_time_ms END), 4) AS times FROM {_TIMINGS} WHERE execution_time_ms >= 0"
+            for kind, slow in (("terms", "len(regex_terms) > 1"), ("slop", "benchmark_result.slop > 0"), ("expansion", "benchmark_result.max_expansions > 100"))
+        ),
+        "bench_diagnostic": f"""WITH {_POSTINGS}, cases AS (SELECT * FROM (VALUES ('Hebrew letter aleph', 'א', 100, 10), ('Hebrew letter bet', 'ב', 100, 10), ('Hebrew letter gimel', 'ג', 100, 10), ('Word: and', 'ו', 100, 10),
+              ('Word: the', 'ה', 100, 10), ('Word: in', 'ב', 100, 10), ('Any Hebrew letter', '[א-ת]', 100, 10), ('Two Hebrew letters', '[א-ת][א-ת]', 100, 10), ('Simple wildcard', '.*', 100, 10), ('any term', '.*', 1000, NULL)) AS t(query_name, pattern, cap, most)),
+            matched AS (SELECT query_name, cap, most, term FROM cases LEFT JOIN vocabulary ON regexp_full_match(term, pattern)),
+            sizes AS (SELECT query_name, cap, most, count(term) AS size FROM matched GROUP BY ALL),
+            hits AS (SELECT query_name, count(DISTINCT row_id) AS n FROM matched JOIN postings USING (term) GROUP BY query_name)
+            SELECT query_name, CASE WHEN size <= cap THEN least(coalesce(n, 0), coalesce(most, coalesce(n, 0))) END AS result_count, size > cap AS failed FROM sizes LEFT JOIN hits USING (query_name)""",
         "bench_memory": """SELECT query_name, round(1 + max_expansions / 1000.0 * list_sum(list_transform(regex_terms, lambda t: 1.0 + CASE WHEN contains(t, '.*') THEN 0.5 ELSE 0 END
             + CASE WHEN contains(t, '[') THEN 1.0 ELSE 0 END + CASE WHEN contains(t, '(') THEN 1.5 ELSE 0 END + CASE WHEN contains(t, chr(123)) THEN 0.8 ELSE 0 END
             + CASE WHEN contains(t, '+') OR contains(t, '*') THEN 0.3 ELSE 0 END)), 6) AS memory_usage_mb FROM benchmark_case""",

@@ -8,7 +8,7 @@ from folioscan import bench
 from folioscan.engine import SearchEngine
 from folioscan.functions import topics as T
 from folioscan.functions.analysis import query_terms, raw_tokens
-from folioscan.plans import catalogue
+from folioscan.plans import catalogue, writes
 from folioscan.schema import DOCUMENT, DocumentInput
 from folioscan.streaming.ingest import ingest
 from tests.conftest import DATA, compare
@@ -48,6 +48,13 @@ def test_benchmarks(spark, tmp_path):
     focused = runner.run_focused([*cases, bench.TestCase("bad", [".*"], [], 0, 1)]).collect()
     assert focused[2].error and focused[0].error is None
     assert [r.result_count for r in runner.run_diagnostic(cases).collect()] == [1, 1, 1]
+    assert [r.result_count for r in runner.run_diagnostic().collect()] == [0] * 8 + [1, 1]
+    named = [("Rabbi and Verse", ["[א-ת]+.*"], 0, 50, 250, 1, 1.0), ("Verse", ["x"], 1, 500, 101, 1, 1.0), ("plain", ["[א-ת]", "b"], 0, 50, -1, None, None)]
+    runs = spark.createDataFrame(named, bench.RESULT)
+    assert {(r.group, r.runs) for r in bench.by_group(runs).collect()} == {("talmudic", 1), ("biblical", 1)}
+    assert [tuple(r) for r in bench.slow_runs(runs).collect()] == [("Rabbi and Verse", "wildcard,hebrew class,quantifier", 250)]
+    assert [tuple(r) for r in bench.hebrew_slow(runs).collect()] == [("Rabbi and Verse", 250, "[א-ת]+.*", True)]
+    assert {r.kind: r.times for r in bench.impacts(runs).collect()} == {"terms": None, "slop": 0.404, "expansion": 0.404}
     told = bench.report(got).splitlines()
     assert len(told) == 3 and "slow" in told[2]
     assert len(runner.run_focused(bench.focused_cases(["alpha", "beta"])[:2]).collect()) == 2
@@ -72,10 +79,11 @@ def test_stream_into_index(spark, tmp_path):
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the tables")
-@pytest.mark.parametrize("name", sorted(catalogue.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(catalogue.oracle_sql() | writes.oracle_sql()))
 def test_against_sql(spark, name):
     directory = f"{DATA}/sf0.001"
-    got, expected = compare(catalogue.queries()[name](spark, directory), catalogue.oracle_sql()[name], directory)
+    queries, sql = catalogue.queries() | writes.queries(), catalogue.oracle_sql() | writes.oracle_sql()
+    got, expected = compare(queries[name](spark, directory), sql[name], directory)
     assert got == expected
 
 
