@@ -320,7 +320,7 @@ def oracle_sql() -> dict[str, str]:
         "snippet_advanced": _wrapped(_phrase(_like(f"{_RICH}ספר")), _like(f"{_RICH}ספר")),
         "snippet_fuzzy": _wrapped(_phrase(_close("court", 1)), _close("court", 1)),
         "snippet_of_phrases_is_the_text": f"{_phrase(_term('of'), _term('the'))} SELECT row_id, text FROM hits JOIN docs USING (row_id) WHERE strlen(text) <= {_SHORT}",
-        "highlight_budget": f"WITH {_POSTINGS} SELECT 'one' AS slots, least(512, count(*)) AS marked FROM vocabulary UNION ALL SELECT 'two', least(256, count(*)) + 1 FROM vocabulary",
+        "highlight_budget": f"WITH {_POSTINGS} SELECT 'one' AS slots, least(512, count(*)) AS marked FROM vocabulary UNION ALL SELECT 'two', count(*) FROM (SELECT term, row_number() OVER (ORDER BY term) AS n FROM vocabulary) WHERE n <= 256 OR term = 'court'",
         "compatibility_states": _values("folder, compatible, status, found_schema_version", [f"'fresh', true, 'compatible', {SCHEMA_VERSION}", "'absent', false, 'missing_index', NULL", "'a file', false, 'invalid_index_path', NULL",
             f"'older', false, 'rebuild_required', {SCHEMA_VERSION - 1}", f"'newer', false, 'engine_too_old', {SCHEMA_VERSION + 1}", f"'another format', false, 'invalid_format', {SCHEMA_VERSION}", "'broken', false, 'invalid_metadata', NULL",
             f"'without metadata', true, 'legacy_compatible', {SCHEMA_VERSION}", "'id not indexed', false, 'rebuild_required', 1", "'nothing in it', false, 'missing_metadata', NULL"]),
