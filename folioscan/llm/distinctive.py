@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscan.llm.common import MAX_TERM_BYTES, TERM, pick
@@ -12,7 +12,7 @@ SMOOTHING = 0.75
 
 
 def term_record_counts(df: DataFrame, row_id: str = "row_id", text: str = "text") -> DataFrame:
-    """Joint counts ``(row_id, term, tf)``. The texts move once, by id; the counting then needs no further shuffle."""
+    """Joint counts ``(row_id, term, tf, n)``, ``n`` the tokens of the record. The texts move once, by id; the counting then needs no further shuffle."""
     words = F.explode(F.regexp_extract_all("t", F.lit(TERM), F.lit(0)))
     return (
         pick(df, row_id=row_id, t=text)
@@ -22,6 +22,7 @@ def term_record_counts(df: DataFrame, row_id: str = "row_id", text: str = "text"
         .where(F.octet_length("w") < MAX_TERM_BYTES)
         .groupBy("row_id", F.lower("w").alias("term"))
         .agg(F.count("*").alias("tf"))
+        .withColumn("n", F.sum("tf").over(Window.partitionBy("row_id")))
     )
 
 
@@ -36,11 +37,10 @@ def distinctive_terms(
     texts hold no terms; further columns are ignored; an empty table gives no rows.
     """
     joint = materialise(term_record_counts(df, row_id, text))
-    records = joint.groupBy("row_id").agg(F.sum("tf").alias("n"))
-    whole = records.agg(F.sum(F.pow("n", F.lit(smoothing))).alias("s")).first().s or 0.0
+    whole = joint.groupBy("row_id").agg(F.first("n").alias("n")).agg(F.sum(F.pow("n", F.lit(smoothing))).alias("s")).first().s or 0.0
     terms = joint.groupBy("term").agg(F.sum("tf").alias("c"), F.count("*").alias("records"))
     if max_records is not None:
         terms = terms.where(F.col("records") <= max_records)
     told = joint.where(F.col("tf") >= min_tf) if min_tf > 1 else joint
     pmi = F.log(F.col("tf") * F.lit(float(whole)) / (F.col("c") * F.pow("n", F.lit(smoothing))))
-    return told.join(terms, "term").join(records, "row_id").select("row_id", "term", "tf", "records", F.greatest(F.lit(0.0), pmi).alias("ppmi"))
+    return told.join(terms, "term").select("row_id", "term", "tf", "records", F.greatest(F.lit(0.0), pmi).alias("ppmi"))
