@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscan.llm.common import arrow_stage, pick
@@ -19,6 +19,8 @@ K = 2
 #: Classes are marked in a table of so many slots, the most that is broadcast.
 SLOTS = 1 << 20
 _POSITION_BITS = 24
+#: Steps in which a run may lie about a path: runs that agree in one of so many stretches, all but a step long, are compared.
+STEPS = 8
 #: Characters worked on at once; a longer text is worked on alone.
 CHUNK_CHARS = 1 << 19
 
@@ -182,43 +184,57 @@ def shared_spans(df: DataFrame, row_id: str = "row_id", text: str = "text", min_
     Returns ``(members, spans)``: ``members`` is ``(row_id, cls, again)`` for each text of at least ``min_chars`` characters,
     two 64-bit hashes of the text that name its class; ``spans`` is ``(cls_a, cls_b, lo_a, hi_a, lo_b, hi_b)`` with ``cls_a < cls_b``, runs of
     at least ``min_chars`` equal characters, checked on the texts. A run is told for every shared path in it, with as much
-    beside the path as makes ``min_chars``. Occurrences of a path with the same surroundings are one variant: only one of each is
-    compared, and only variants that differ are compared with each other. Null and short texts take no part;
-    further columns are ignored; empty tables give no rows.
+    beside the path as makes ``min_chars``. Occurrences of a path with the same surroundings are one variant. A run of ``min_chars``
+    about a path lies with one of ``STEPS`` parts of what it needs beside the path on the left and all but one of the rest on the right, so
+    only variants with one such stretch in common are compared: a formula that many texts hold, but that is too short, makes no pairs.
+    Null and short texts take no part; further columns are ignored; empty tables give no rows.
     """
     docs, members, paths, some = _shared_paths(df, row_id, text, min_chars)
     beside = F.greatest(F.lit(0), F.lit(min_chars) - (F.col("hi") - F.col("lo")))
     start = F.greatest(F.lit(0), F.col("lo") - beside)
-    around = paths.join(some, "cls").select("path", "cls", "lo", start.alias("start"), (F.col("hi") - F.col("lo")).alias("size"), F.substring("t", start + 1, F.col("hi") + beside - start).alias("t"))
+    around = paths.join(some, "cls").select("path", "cls", "lo", (F.col("lo") - start).alias("before"), (F.col("hi") - F.col("lo")).alias("size"), F.substring("t", start + 1, F.col("hi") + beside - start).alias("t"))
     keys = ["path", "size", "before", "k1", "k2"]
-    placed = materialise(around.withColumn("before", F.col("lo") - F.col("start")).withColumn("k1", F.xxhash64("t")).withColumn("k2", F.xxhash64(F.lit(1), "t")))
-    variants = materialise(placed.groupBy(*keys).agg(F.min("cls").alias("v"), F.first("t").alias("t")))
-    left, right = (variants.select("path", *(F.col(c).alias(f"{c}_{x}") for c in ("v", "size", "before", "k1", "k2", "t"))) for x in ("a", "b"))
-    order = lambda x: F.struct(*(f"{c}_{x}" for c in ("k1", "k2", "before", "size")))
-    pairs = left.join(right, "path").where(order("a") <= order("b"))
-    told = [f"{c}_{x}" for x in ("a", "b") for c in ("size", "before", "k1", "k2")]
-    names = ["path", *told, "back", "length"]
+    placed = around.withColumn("k1", F.xxhash64("t")).withColumn("k2", F.xxhash64(F.lit(1), "t"))
+    placed = materialise(placed)
+    variants = materialise(placed.groupBy(*keys).agg(F.first("t").alias("t")).withColumn("v", F.monotonically_increasing_id()))
+    occurrences = materialise(placed.drop("t").join(variants.drop("t"), keys).select("v", "cls", "lo"))
+    need = F.greatest(F.lit(0), F.lit(min_chars) - F.col("size"))
+
+    def stretch(i: Column) -> Column:
+        left = F.floor(i * need / STEPS).cast("int")
+        right = F.greatest(F.lit(0), need - F.ceil((i + 1) * need / STEPS)).cast("int")
+        whole = F.substring("t", F.col("before") - left + 1, left + F.col("size") + right)
+        fits = (F.col("before") >= left) & (F.char_length("t") - F.col("before") - F.col("size") >= right)
+        return F.when(fits, F.struct(i.alias("i"), F.xxhash64(whole).alias("g1"), F.xxhash64(F.lit(1), whole).alias("g2")))
+
+    steps = F.sequence(F.lit(0), F.when(need > 0, F.lit(STEPS)).otherwise(F.lit(0)))
+    by_stretch = variants.select("v", "path", "size", F.explode(F.array_compact(F.transform(steps, stretch))).alias("g")).select("v", "path", "size", "g.*")
+    same = ["path", "size", "i", "g1", "g2"]
+    pairs = by_stretch.withColumnRenamed("v", "v_a").join(by_stretch.withColumnRenamed("v", "v_b"), same).where("v_a < v_b").select("v_a", "v_b").distinct()
+    sides = {x: variants.select(*(F.col(c).alias(f"{c}_{x}") for c in ("v", "size", "before", "t"))) for x in ("a", "b")}
+    held = pairs.join(sides["a"], "v_a").join(sides["b"], "v_b").select("v_a", "v_b", F.least("size_a", "size_b").alias("size"), "before_a", "before_b", "t_a", "t_b")
+    names = ["v_a", "v_b", "back", "length"]
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list[int]] = [[] for _ in names]
-            for path, sa, ba, ka, qa, sb, bb, kb, qb, ta, tb in zip(*(c.to_pylist() for c in batch.columns)):
-                size = min(sa, sb)
+            for va, vb, size, ba, bb, ta, tb in zip(*(c.to_pylist() for c in batch.columns)):
                 before, after = _extent(ta, ba, tb, bb, size)
                 if before >= 0 and before + size + after >= min_chars:
-                    for col, v in zip(out, (path, sa, ba, ka, qa, sb, bb, kb, qb, before, before + size + after)):
+                    for col, v in zip(out, (va, vb, before, before + size + after)):
                         col.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names)
 
-    alike = materialise(arrow_stage(pairs.select("path", *told, "t_a", "t_b"), verify, ", ".join(f"{n} long" for n in names)))
-    sides = {x: placed.select("path", *(F.col(c).alias(f"{c}_{x}") for c in ("cls", "lo", "size", "before", "k1", "k2"))) for x in ("a", "b")}
-    both = alike
+    alike = arrow_stage(held, verify, ", ".join(f"{n} long" for n in names))
+    within = variants.where(F.char_length("t") >= min_chars).select(F.col("v").alias("v_a"), F.col("v").alias("v_b"), F.col("before").cast("long").alias("back"), F.char_length("t").cast("long").alias("length"))
+    both = alike.unionByName(within)
     for x in ("a", "b"):
-        both = both.join(sides[x], ["path", *(f"{c}_{x}" for c in ("size", "before", "k1", "k2"))])
+        both = both.join(occurrences.toDF(f"v_{x}", f"cls_{x}", f"lo_{x}"), f"v_{x}")
     from_, to = (lambda x: F.col(f"lo_{x}") - F.col("back")), (lambda x: F.col(f"lo_{x}") - F.col("back") + F.col("length"))
     ordered = F.col("cls_a") < F.col("cls_b")
     span = lambda x, y: F.struct(F.col(f"cls_{x}").alias("cls_a"), F.col(f"cls_{y}").alias("cls_b"), from_(x).alias("lo_a"), to(x).alias("hi_a"), from_(y).alias("lo_b"), to(y).alias("hi_b"))
-    spans = both.where("cls_a != cls_b").select(F.when(ordered, span("a", "b")).otherwise(span("b", "a")).alias("s")).select("s.*")
+    once = (F.col("v_a") != F.col("v_b")) | ordered  # within a variant each pair comes both ways round
+    spans = both.where((F.col("cls_a") != F.col("cls_b")) & once).select(F.when(ordered, span("a", "b")).otherwise(span("b", "a")).alias("s")).select("s.*")
     return members, spans
 
 

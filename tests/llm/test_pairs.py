@@ -258,6 +258,23 @@ def test_shared_spans_against_brute_force(spark):
     assert any(r.chars == 0 and r.share == 0 for r in shares.values())
 
 
+def test_a_formula_in_many_texts_makes_no_pairs(spark, monkeypatch):
+    """A passage just too short stands in many texts: nearly none are compared; a long one stands in others, with surroundings of their own."""
+    from folioscan.llm import spans as module
+
+    r = random.Random(12)
+    text = lambda n: "".join(r.choice("abcdefghijklmn ") for _ in range(n))
+    formula, passage = text(180), text(230)
+    rows = [(n, text(r.randint(20, 300)) + formula + text(r.randint(20, 300))) for n in range(150)]
+    rows += [(1000 + n, text(r.randint(20, 300)) + passage + text(r.randint(20, 300))) for n in range(12)]
+    compared = spark.sparkContext.accumulator(0)
+    extent = module._extent
+    monkeypatch.setattr(module, "_extent", lambda *x: (compared.add(1), extent(*x))[1])
+    pairs = {(x.row_id_a, x.row_id_b) for x in shared_pairs(*shared_spans(spark.createDataFrame(rows, "row_id long, text string"))).collect()}
+    assert pairs == set(combinations(range(1000, 1012), 2))
+    assert 60 <= compared.value < 1000
+
+
 def test_shared_spans_of_nothing(spark):
     df = spark.createDataFrame([(1, None), (2, "short")], "row_id long, text string")
     for members, spans in (shared_spans(df), repeated_spans(df)):
