@@ -12,7 +12,6 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -61,53 +60,68 @@ def literal_start(pattern: str) -> str:
     return start[:-1] if pattern[len(start) : len(start) + 1] in ("*", "?", "{") and start else start
 
 
-def expand(index: Index, pattern: str, cap: int) -> list[str]:
-    """The terms of the vocabulary that ``pattern`` matches whole; raises ``ExpansionError`` beyond ``cap``.
-
-    The vocabulary is in order of terms, so the letters that a pattern begins with leave out most of its row groups.
-    """
+def _matching(index: Index, pattern: str) -> DataFrame:
+    """The terms that ``pattern`` matches whole. The vocabulary is in order of terms, so the letters that a pattern begins
+    with leave out most of its row groups."""
     terms, start = index.vocabulary, literal_start(pattern)
     if start:
         terms = terms.where((F.col("term") >= start) & (F.col("term") < start + "\U0010ffff"))
-    found = [r.term for r in terms.where(F.col("term").rlike(whole_term(pattern))).select("term").limit(cap + 1).collect()]
+    return terms.where(F.col("term").rlike(whole_term(pattern))).select("term")
+
+
+def expand_all(index: Index, patterns: Sequence[str], cap: int) -> list[list[str]]:
+    """For each pattern the terms of the vocabulary that it matches whole, ``cap`` + 1 of them at most, found in one job."""
+    if not patterns:
+        return []
+    parts = [_matching(index, p).select(F.lit(i).alias("i"), "term").limit(cap + 1) for i, p in enumerate(patterns)]
+    found: list[list[str]] = [[] for _ in patterns]
+    for r in reduce(DataFrame.unionByName, parts).collect():
+        found[r.i].append(r.term)
+    return [sorted(f) for f in found]
+
+
+def expand(index: Index, pattern: str, cap: int) -> list[str]:
+    """The terms of the vocabulary that ``pattern`` matches whole; raises ``ExpansionError`` beyond ``cap``."""
+    return _within(pattern, expand_all(index, [pattern], cap)[0], cap)
+
+
+def _within(pattern: str, found: list[str], cap: int) -> list[str]:
     if len(found) > cap:
         raise ExpansionError(f"{pattern!r} stands for more than {cap} terms")
-    return sorted(found)
+    return found
 
 
-def _osa(a: str, b: str, most: int) -> bool:
-    """Whether at most ``most`` insertions, deletions, replacements and exchanges of neighbours lead from ``a`` to ``b``."""
-    two, one = None, list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        row = [i]
-        for j, y in enumerate(b, 1):
-            cost = min(one[j] + 1, row[j - 1] + 1, one[j - 1] + (x != y))
-            if two is not None and j > 1 and x == b[j - 2] and a[i - 2] == y:
-                cost = min(cost, two[j - 2] + 1)
-            row.append(cost)
-        two, one = one, row
-    return one[-1] <= most
+def _exchanged(term: Column, word: str, distance: int) -> Column:
+    """Whether ``term`` is within ``distance`` edits of ``word`` of which at least one is an exchange of neighbours.
+
+    No edit touches what another has changed: beside an exchange a further edit lies in what is before or behind it.
+    """
+    swap = lambda w, i: w[:i] + w[i + 1] + w[i] + w[i + 2 :]
+    places = [i for i in range(len(word) - 1) if word[i] != word[i + 1]]
+    whole = {swap(word, i) for i in places}
+    if distance < 2:
+        return term.isin(sorted(whole))
+    whole |= {swap(swap(word, i), j) for i in places for j in places if j > i + 1}
+    found = term.isin(sorted(whole))
+    for i in places:
+        for at in range(max(0, i - 1), i + 2):
+            beside = F.levenshtein(F.substring(term, 1, at), F.lit(word[:i])) + F.levenshtein(F.substring(term, at + 3, 1 << 20), F.lit(word[i + 2 :]))
+            found |= (F.substring(term, at + 1, 2) == word[i + 1] + word[i]) & (beside <= 1)
+    return found
 
 
 def misspelt(index: Index, word: str, distance: int) -> DataFrame:
     """Terms within ``distance`` edits of ``word``, an exchange of neighbours being one.
 
-    Plain edit distance accepts most; an exchange counts twice there, so what is within twice the distance is
-    compared again.
+    Plain edit distance accepts most; the rest have an exchange, which counts twice there, and are looked at as such.
     """
     if not 0 <= distance <= 2:
         raise ValueError("the distance is 0, 1 or 2")
     if distance == 0:
         return index.vocabulary.where(F.col("term") == word).select("term")
-
-    @F.pandas_udf("boolean")
-    def close(terms: pd.Series) -> pd.Series:
-        return pd.Series([_osa(t, word, distance) for t in terms], dtype=bool)
-
-    length = F.char_length("term")
     near = F.levenshtein("term", F.lit(word), 2 * distance)
-    candidates = index.vocabulary.where(length.between(len(word) - distance, len(word) + distance)).withColumn("d", near).where("d >= 0")
-    return candidates.where(F.when(F.col("d") <= distance, True).otherwise(close("term"))).select("term")
+    candidates = index.vocabulary.where(F.char_length("term").between(len(word) - distance, len(word) + distance)).withColumn("d", near).where("d >= 0")
+    return candidates.where((F.col("d") <= distance) | _exchanged(F.col("term"), word, distance)).select("term")
 
 
 def _facets(index: Index, matches: DataFrame, facets: Sequence[str]) -> DataFrame:
@@ -228,9 +242,8 @@ def regex(index: Index, patterns: Sequence[str], slop: int = 0, max_expansions:
         T.checked(f)
     slots: list[list[str]] = []
     left = max_expansions
-    for p in patterns:
-        found = expand(index, p, left)
-        if not found:
+    for p, found in zip(patterns, expand_all(index, patterns, max_expansions)):
+        if not _within(p, found, left):
             return nothing(index)
         slots.append(found)
         left -= len(found) if len(patterns) > 1 else 0

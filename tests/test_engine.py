@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from folioscan.engine import SearchEngine
 from folioscan.functions.morph import GRAM_PREFIX
 from folioscan.functions.topics import TopicError
+from folioscan.operators import match
+from folioscan.operators.index import Index
 from folioscan.operators.match import whole_term
 from folioscan.schema import DocumentInput, ExpansionError, HighlightConfig, ResultsOrder
 from folioscan.sources import store
@@ -267,6 +269,33 @@ def test_fuzzy(engine):
             call("שלום", max_distance=3)
 
 
+def edits(a, b):
+    """Insertions, deletions, replacements and exchanges of neighbours that lead from ``a`` to ``b``, none touching another."""
+    d = {(i, 0): i for i in range(len(a) + 1)} | {(0, j): j for j in range(len(b) + 1)}
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            d[i, j] = min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (a[i - 1] != b[j - 1]))
+            if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                d[i, j] = min(d[i, j], d[i - 2, j - 2] + 1)
+    return d[len(a), len(b)]
+
+
+@pytest.mark.parametrize("word", ["abcd", "aabc", "abab", "ba", "a"])
+def test_misspelt_against_brute_force(spark, word):
+    import itertools
+
+    terms = ["".join(x) for n in range(1, 6) for x in itertools.product("abcd"[: 4 if n < 5 else 3], repeat=n)]
+    frame = spark.createDataFrame([(t, 1) for t in terms], "term string, df long")
+    for distance in (1, 2):
+        got = {r.term for r in match.misspelt(Index(frame, frame, frame, frame), word, distance).collect()}
+        assert got == {t for t in terms if edits(t, word) <= distance}
+
+
+@pytest.mark.parametrize(("pattern", "start"), [("abc.*", "abc"), ("ab*c", "a"), ("ab+c", "ab"), ("a?b", ""), ("(?:a|b)c", ""), ("ab|cd", ""), ("[ab]c", ""), ("שלו{2}", "של"), ("a\\.b", "a")])
+def test_literal_start(pattern, start):
+    assert match.literal_start(pattern) == start
+
+
 def test_advanced(engine):
     filled(engine, doc(1, "ספר"), doc(2, "הספר"), doc(3, "מטבע"), doc(4, "מלך"), doc(5, "שר"), doc(6, "ספר תורה"))
     options = {"search_options": {"ספר_0": {GRAM_PREFIX: True}}}
