@@ -17,7 +17,7 @@ SPARE, FIT_TOKENS = 16, 1 << 16
 #: Bytes of a vocabulary that is broadcast, at most.
 MAX_VOCABULARY = 1 << 26
 #: Parts of a length's documents by their seeded hash: only in one of them are documents ranked one by one.
-HASH_PARTS = 1 << 16
+HASH_PARTS = 1 << 12
 
 
 def term_tokens(text: Column) -> Column:
