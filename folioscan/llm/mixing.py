@@ -150,7 +150,8 @@ def select_mixture(lengths: DataFrame, takes: DataFrame, seed: int = 42) -> Data
     before = Window.partitionBy("source", "n_tokens").orderBy("part")
     upto = counted.withColumn("before", F.sum("docs").over(before) - F.col("docs")).join(takes, ["source", "n_tokens"])
     part = materialise(upto.select("source", "n_tokens", "part", "whole_repeats", F.least(F.greatest(F.col("take") - F.col("before"), F.lit(0)), "docs").alias("wanted"), "docs"))
-    placed = parted.join(part.where("wanted > 0 or whole_repeats > 0"), ["source", "n_tokens", "part"])
+    # the parts compress so well that Spark would take their table for small and broadcast it
+    placed = parted.join(part.where("wanted > 0 or whole_repeats > 0").hint("merge"), ["source", "n_tokens", "part"])
     split = (F.col("wanted") > 0) & (F.col("wanted") < F.col("docs"))
     names = ["doc_id", "source", "n_tokens"]
     even = placed.where(~split).select(*names, (F.col("whole_repeats") + (F.col("wanted") > 0).cast("long")).alias("copies"))
