@@ -29,7 +29,7 @@ class Searcher:
         return results.page(self.index, found, limit, offset, order, highlight, marked)
 
     def _page_and_count(self, found: Matches, limit: int, offset: int, order: ResultsOrder, highlight: HighlightConfig | None, marked: bool = True) -> SearchPage:
-        return SearchPage(results.count(found), self._page(found, limit, offset, order, highlight, marked))
+        return SearchPage(*results.page_and_count(self.index, found, limit, offset, order, highlight=highlight, marked=marked))
 
     def _chunks(self, found: Matches, limit: int, order: ResultsOrder, size: int, highlight: HighlightConfig | None, marked: bool = True) -> Iterator[list[Row]]:
         return results.chunks(self._page(found, limit, 0, order, highlight, marked), size)

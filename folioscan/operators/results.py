@@ -106,12 +106,13 @@ def page(
     highlight: HighlightConfig | None = None,
     marked: bool = True,
     numbered: bool = False,
+    top: DataFrame | None = None,
 ) -> DataFrame:
-    """A page of results in order. Only the page's records are fetched; ``text`` is a snippet, or the whole text where
+    """A page of results in order (that of ``top`` if it is known already). Only the page's records are fetched; ``text`` is a snippet, or the whole text where
     nothing is to be marked. ``numbered`` keeps the row's place in column ``n``.
     """
     config = highlight or HighlightConfig()
-    top = ranked(index, matches, order, limit, offset)
+    top = ranked(index, matches, order, limit, offset) if top is None else top
     by = [F.desc("score"), F.asc("row_id")] if order is ResultsOrder.RELEVANCE else [F.asc("id"), F.asc("row_id")]
     fetched = index.docs.drop("id").join(top, "row_id").fillna(DEFAULTS)
     weights = _weights(index, matches) if marked and not matches.empty else {}
@@ -125,6 +126,18 @@ def page(
     return fetched.orderBy(*by).select(*RESULT_COLUMNS, *(["row_id"] if numbered else []))
 
 
+def page_and_count(index: Index, matches: Matches, limit: int, offset: int = 0, order: ResultsOrder = ResultsOrder.CATALOGUE, **options) -> tuple[int, DataFrame]:
+    """How many records match, and a page of them; the search itself runs once. ``options`` are those of ``page``."""
+    rows = matches.rows.persist()
+    try:
+        total = rows.count()
+        found = ranked(index, Matches(rows, matches.slots), order, limit, offset).collect() if total and limit else []  # a page
+    finally:
+        rows.unpersist()
+    top = index.spark.createDataFrame(found, "row_id long, id long, score double")
+    return total, page(index, matches, limit, offset, order, top=top, **options)
+
+
 def chunks(frame: DataFrame, size: int) -> Iterator[list[Row]]:
     """The rows of a page in lists of ``size`` (at least 1), fetched partition by partition as they are wanted."""
     held: list[Row] = []

@@ -128,8 +128,8 @@ def exact_facet_counts_root(ix: Index) -> DataFrame:
 
 @query
 def exact_search_and_count(ix: Index) -> DataFrame:
-    found = match.exact(ix, "witness", scored=False)
-    return _page(ix, found, 5).select("row_id", "id", F.lit(results.count(found)).cast("long").alias("total_count"))
+    total, rows = results.page_and_count(ix, match.exact(ix, "witness", scored=False), 5, marked=False, numbered=True)
+    return rows.select("row_id", "id", F.lit(total).cast("long").alias("total_count"))
 
 
 @query
