@@ -99,9 +99,14 @@ class RegexBenchmarker:
         return BenchmarkResult(case.query_name, list(case.regex_terms), case.slop, case.max_expansions, ms, n, estimated_memory(case.regex_terms, case.max_expansions))
 
     def benchmark_custom_queries(self, cases: Sequence[TestCase], warmups: int = 2, runs: int = 5) -> DataFrame:
-        """A row per case; an error of any ends the suite."""
-        found = [self.benchmark_single_query(c, warmups, runs) for c in cases]
-        return self.spark.createDataFrame([tuple(asdict(r).values()) for r in found], RESULT)
+        """A row per case; a case that the search refuses has no time and no count but the error in its row, and the others go on."""
+        rows = []
+        for c in cases:
+            try:
+                rows.append((*asdict(self.benchmark_single_query(c, warmups, runs)).values(), None))
+            except ValueError as e:
+                rows.append((c.query_name, list(c.regex_terms), c.slop, c.max_expansions, None, None, estimated_memory(c.regex_terms, c.max_expansions), str(e)))
+        return self.spark.createDataFrame(rows, f"{RESULT}, error string")
 
     def run_comprehensive_benchmark(self, words: Sequence[str], warmups: int = 2, runs: int = 5) -> DataFrame:
         return self.benchmark_custom_queries(comprehensive_cases(words), warmups, runs)

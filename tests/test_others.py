@@ -62,6 +62,20 @@ def test_benchmarks(spark, tmp_path):
     engine.close()
 
 
+def test_a_refused_case_leaves_the_suite_whole(spark, tmp_path):
+    engine = SearchEngine(spark, str(tmp_path / "index"))
+    engine.add_document(DocumentInput(1, "t", "r", "/", "alpha beta gamma delta " + " ".join(f"al{n}" for n in range(1001)), 0, False, "p"))
+    engine.commit()
+    got = bench.RegexBenchmarker(spark, engine).run_comprehensive_benchmark(["alpha", "beta", "gamma", "delta"], 0, 1)
+    rows = {r.query_name: r for r in got.collect()}
+    assert list(rows) == [c.query_name for c in bench.comprehensive_cases(["alpha", "beta", "gamma", "delta"])]
+    half = rows.pop("half")  # "al.*" stands for 1,002 terms and may for 1,000
+    assert (half.execution_time_ms, half.result_count) == (None, None) and "1000" in half.error
+    assert all(r.error is None and r.execution_time_ms >= 0 for n, r in rows.items() if n != "length")
+    assert bench.summary(got).first().runs == got.where("error is null").count()
+    engine.close()
+
+
 def test_stream_into_index(spark, tmp_path):
     source = tmp_path / "in"
     rows = [DocumentInput(n, "t", "r", "/", f"word{n}", 0, False, "p").values() for n in (1, 2)]
