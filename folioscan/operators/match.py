@@ -60,13 +60,21 @@ def literal_start(pattern: str) -> str:
     return start[:-1] if pattern[len(start) : len(start) + 1] in ("*", "?", "{") and start else start
 
 
+def _span(pattern: str) -> Column:
+    """The range of terms that begin with the letters ``pattern`` begins with."""
+    start = literal_start(pattern)
+    return (F.col("term") >= start) & (F.col("term") < start + "\U0010ffff") if start else F.lit(True)
+
+
+def _whole(frame: DataFrame, pattern: str) -> DataFrame:
+    """Rows with a term that ``pattern`` matches whole. Vocabulary and postings are in order of terms, so the letters that a
+    pattern begins with leave out most of their row groups."""
+    return frame.where(_span(pattern)).where(F.col("term").rlike(whole_term(pattern)))
+
+
 def _matching(index: Index, pattern: str) -> DataFrame:
-    """The terms that ``pattern`` matches whole. The vocabulary is in order of terms, so the letters that a pattern begins
-    with leave out most of its row groups."""
-    terms, start = index.vocabulary, literal_start(pattern)
-    if start:
-        terms = terms.where((F.col("term") >= start) & (F.col("term") < start + "\U0010ffff"))
-    return terms.where(F.col("term").rlike(whole_term(pattern))).select("term")
+    """The terms that ``pattern`` matches whole."""
+    return _whole(index.vocabulary, pattern).select("term")
 
 
 def expand_all(index: Index, patterns: Sequence[str], cap: int) -> list[list[str]]:
@@ -155,21 +163,33 @@ def _bm25(index: Index, counted: DataFrame, idf: float) -> DataFrame:
     return counted.join(index.lengths, "row_id").select("row_id", (F.lit(idf) * weight).alias("score"))
 
 
-def _dfs(index: Index, slots: Sequence[Sequence[str]]) -> list[int]:
+def _listed(slots: Sequence[Sequence[str] | str]) -> list[str]:
+    """The terms of all slots that have a list of them."""
+    return sorted({t for s in slots if not isinstance(s, str) for t in s})
+
+
+def _dfs(index: Index, slots: Sequence[Sequence[str] | str]) -> list[int]:
     """For each slot the records that hold its terms, summed over the terms."""
-    wanted = sorted({t for s in slots for t in s})
-    df = {r.term: r.df for r in index.vocabulary.where(F.col("term").isin(wanted)).collect()}
-    return [sum(df.get(t, 0) for t in s) for s in slots]
+    df = {r.term: r.df for r in index.vocabulary.where(F.col("term").isin(_listed(slots))).collect()}
+    summed = lambda p: _whole(index.vocabulary, p).agg(F.sum("df").alias("n")).first().n or 0
+    return [summed(s) if isinstance(s, str) else sum(df.get(t, 0) for t in s) for s in slots]
 
 
-def _slot_positions(index: Index, slots: Sequence[Sequence[str]]) -> DataFrame:
-    """``(row_id, p0, p1, ...)``: sorted positions of each slot's terms in the records that hold all slots.
+def _slot_positions(index: Index, slots: Sequence[Sequence[str] | str]) -> DataFrame:
+    """``(row_id, p0, p1, ...)``: sorted positions of each slot's terms in the records that hold all slots. A slot is a list
+    of terms, or a pattern that every posting is held against.
 
     One scan for all terms and one shuffle of their postings; a record's lists are bounded by its text.
     """
-    wanted = sorted({t for s in slots for t in s})
-    lists = [F.array_sort(F.flatten(F.collect_list(F.when(F.col("term").isin(list(s)), F.col("positions"))))).alias(f"p{i}") for i, s in enumerate(slots)]
-    found = _of_terms(index, wanted).groupBy("row_id").agg(*lists)
+    tests = [F.col("term").rlike(whole_term(s)) if isinstance(s, str) else F.col("term").isin(list(s)) for s in slots]
+    lists = [F.array_sort(F.flatten(F.collect_list(F.when(t, F.col("positions"))))).alias(f"p{i}") for i, t in enumerate(tests)]
+    patterns = [s for s in slots if isinstance(s, str)]
+    if patterns:
+        spans = [*map(_span, patterns), F.col("term").isin(_listed(slots))]
+        held = index.postings.where(reduce(lambda a, b: a | b, spans)).where(reduce(lambda a, b: a | b, tests))
+    else:
+        held = _of_terms(index, _listed(slots))
+    found = held.groupBy("row_id").agg(*lists)
     return found.where(reduce(lambda a, b: a & b, [F.size(f"p{i}") > 0 for i in range(len(slots))]))
 
 
@@ -225,24 +245,28 @@ def exact(index: Index, query: str, facets: Sequence[str] = (), scored: bool = T
     return Matches(_facets(index, _scored(index, counted, slots, scored), facets), slots)
 
 
-def _scored(index: Index, counted: DataFrame, slots: list[list[str]], scored: bool) -> DataFrame:
+def _scored(index: Index, counted: DataFrame, slots: list[list[str] | str], scored: bool) -> DataFrame:
     if not scored:
         return counted.select("row_id", F.lit(0.0).alias("score"))
     records = index.lengths.count()
     return _bm25(index, counted, sum(_idf(records, min(n, records)) for n in _dfs(index, slots)))
 
 
-def regex(index: Index, patterns: Sequence[str], slop: int = 0, max_expansions: int = 50, facets: Sequence[str] = (), scored: bool = True) -> Matches:
+def regex(index: Index, patterns: Sequence[str], slop: int = 0, max_expansions: int = 50, facets: Sequence[str] = (), scored: bool = True, refuse: bool = True) -> Matches:
     """Records whose terms match ``patterns`` in order, within ``slop`` moves.
 
     One pattern matches any of its terms and scores 1. Several are a phrase: their terms together may be
-    ``max_expansions``; a pattern without terms ends the search before the others are counted.
+    ``max_expansions``; a pattern without terms ends the search before the others are counted. Without ``refuse`` there may
+    be more: a pattern that stands for more than that or ``LITERAL_TERMS`` is held against the postings, its terms aren't listed.
     """
     for f in facets:
         T.checked(f)
-    slots: list[list[str]] = []
-    left = max_expansions
-    for p, found in zip(patterns, expand_all(index, patterns, max_expansions)):
+    slots: list[list[str] | str] = []
+    left = max_expansions if refuse else min(max_expansions, LITERAL_TERMS)
+    for p, found in zip(patterns, expand_all(index, patterns, left)):
+        if not refuse and len(found) > left:
+            slots.append(p)
+            continue
         if not _within(p, found, left):
             return nothing(index)
         slots.append(found)
@@ -250,11 +274,12 @@ def regex(index: Index, patterns: Sequence[str], slop: int = 0, max_expansions:
     if not slots:
         return nothing(index)
     if len(slots) == 1:
-        rows = _of_terms(index, slots[0]).select("row_id").distinct().withColumn("score", F.lit(1.0))
+        held = _whole(index.postings, slots[0]) if isinstance(slots[0], str) else _of_terms(index, slots[0])
+        rows = held.select("row_id").distinct().withColumn("score", F.lit(1.0))
     else:
         counted = _slot_positions(index, slots).select("row_id", _placed(slots, slop).alias("tf")).where("tf > 0")
         rows = _scored(index, counted, slots, scored)
-    return Matches(_facets(index, rows, facets), slots)
+    return Matches(_facets(index, rows, facets), [_matching(index, s) if isinstance(s, str) else s for s in slots])
 
 
 def fuzzy_terms(index: Index, terms: Sequence[str], distance: int, facets: Sequence[str] = ()) -> Matches:

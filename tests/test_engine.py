@@ -318,6 +318,25 @@ def test_expansions(engine):
     assert engine.count(["nothing", ".*"], max_expansions=1) == 0  # ends before the second is counted
 
 
+def test_expansions_without_refusing(engine):
+    filled(engine, doc(1, "את הספר ההוא"), doc(2, "את זה"), doc(3, "הים את"), doc(4, "את ספר הים", topics="/other"))
+    ix = engine.index
+
+    def found(patterns, slop, cap, facets=(), scored=False):
+        return {r.row_id: r.score for r in match.regex(ix, patterns, slop, cap, facets, scored, refuse=False).rows.collect()}
+
+    with pytest.raises(ExpansionError):
+        match.regex(ix, ["את", "ה.*"], 1, 2)
+    for patterns in (["את", "ה.*"], ["ה.*", "את"], [".*", "ה.*"], ["ה.*", ".*"], ["ה.*"], [".*ים"], ["none", ".*"], [".*", "none"]):
+        for slop in (0, 1, 2):
+            for facets in ((), ("/root",)):
+                assert found(patterns, slop, 0, facets) == found(patterns, slop, 2, facets) == found(patterns, slop, 100, facets)
+        few, all_ = found(patterns, 1, 0, scored=True), found(patterns, 1, 100, scored=True)
+        assert few == pytest.approx(all_)
+    assert len(found(["את", "ה.*"], 1, 2)) == 2 and len(found(["את", "ה.*"], 1, 2, ["/root"])) == 1
+    assert len(found(["none", ".*"], 1, 0)) == 0
+
+
 @pytest.mark.parametrize(("bad", "good"), [("^a", "[^a]"), ("a$", r"a\$"), ("(?:a|$)", "[$^]")])
 def test_anchors(bad, good):
     with pytest.raises(ValueError, match="anchor"):
