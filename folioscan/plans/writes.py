@@ -220,7 +220,7 @@ def snippet_of_phrases_is_the_text(ix: Index) -> DataFrame:
 @_on_index
 def highlight_budget(ix: Index) -> DataFrame:
     """Terms that are marked of a pattern that stands for many, and of two that share the budget."""
-    many = match.regex(ix, [".*"], 0, 1_000_000, scored=False)
+    many = match.regex(ix, [".*"], 0, 1_000_000, scored=False, refuse=False)
     two = match.Matches(many.rows, [many.slots[0], ["court"]])
     return ix.spark.createDataFrame([("one", len(results.highlight_weights(ix, many))), ("two", len(results.highlight_weights(ix, two)))], "slots string, marked long")
 

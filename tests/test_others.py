@@ -8,8 +8,11 @@ from folioscan import bench
 from folioscan.engine import SearchEngine
 from folioscan.functions import topics as T
 from folioscan.functions.analysis import query_terms, raw_tokens
+from folioscan.operators import match
+from folioscan.operators.index import Index
+from folioscan.operators.results import highlight_weights
 from folioscan.plans import catalogue, writes
-from folioscan.schema import DOCUMENT, DocumentInput
+from folioscan.schema import DOCUMENT, STORED, DocumentInput
 from folioscan.streaming.ingest import ingest
 from tests.conftest import DATA, compare
 
@@ -76,6 +79,18 @@ def test_a_refused_case_leaves_the_suite_whole(spark, tmp_path):
     engine.close()
 
 
+def test_highlight_budget_beyond_all_bounds(spark, monkeypatch):
+    """A vocabulary over the query's 1,000,000 terms, of which no more than are marked come to the driver."""
+    rows = spark.range(1_000_001).select(F.format_string("w%07d", "id").alias("term"), F.lit(1).cast("long").alias("df"))
+    vocabulary = rows.unionByName(spark.createDataFrame([("court", 3)], "term string, df long"))
+    none = spark.createDataFrame([], "term string, row_id long, positions array<int>")
+    ix = Index(spark.createDataFrame([], STORED), none, vocabulary, spark.createDataFrame([], "row_id long, dl long"))
+    monkeypatch.setattr(writes, "open_index", lambda spark, d: ix)
+    assert [tuple(r) for r in writes.queries()["highlight_budget"](spark, "").collect()] == [("one", 512), ("two", 256)]
+    many = match.regex(ix, [".*"], 0, 1_000_000, scored=False, refuse=False)
+    assert sorted(highlight_weights(ix, many))[:3] == ["court", "w0000000", "w0000001"]
+
+
 def test_stream_into_index(spark, tmp_path):
     source = tmp_path / "in"
     rows = [DocumentInput(n, "t", "r", "/", f"word{n}", 0, False, "p").values() for n in (1, 2)]
