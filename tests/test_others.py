@@ -9,7 +9,7 @@ from folioscan.engine import SearchEngine
 from folioscan.functions import topics as T
 from folioscan.functions.analysis import query_terms, raw_tokens
 from folioscan.operators import match
-from folioscan.operators.index import Index
+from folioscan.operators.index import Index, build_index
 from folioscan.operators.results import highlight_weights
 from folioscan.plans import catalogue, writes
 from folioscan.schema import DOCUMENT, STORED, DocumentInput
@@ -79,6 +79,15 @@ def test_a_refused_case_leaves_the_suite_whole(spark, tmp_path):
     engine.close()
 
 
+def test_phrase_with_a_pattern_of_many_terms(spark, monkeypatch):
+    """The query counts whole where its pattern stands for more terms than 5,000."""
+    many = " ".join(f"ה{n}" for n in range(5001))
+    rows = [(1, 1, "", "", "/עברית/law", f"את {many}", 0, False, ""), (2, 2, "", "", "/עברית/law", "את", 0, False, ""), (3, 3, "", "", "/english", "את הספר", 0, False, "")]
+    ix = build_index(spark.createDataFrame(rows, STORED))
+    monkeypatch.setattr(catalogue, "open_index", lambda spark, d: ix)
+    assert catalogue.queries()["regex_phrase_facet"](spark, "").first().total_count == 1
+
+
 def test_highlight_budget_beyond_all_bounds(spark, monkeypatch):
     """A vocabulary over the query's 1,000,000 terms, of which no more than are marked come to the driver."""
     rows = spark.range(1_000_001).select(F.format_string("w%07d", "id").alias("term"), F.lit(1).cast("long").alias("df"))
